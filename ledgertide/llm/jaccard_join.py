@@ -224,7 +224,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = signed.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("bitmap").alias("bitmap"))
     met = written(members.select("cls").distinct().join(classes, "cls").where("rep is not null"), "met")
     wanted = met.select(F.col("rep").alias("doc_id"), "cls")
-    sets = written(docs.join(wanted, "doc_id").select("cls", "text").mapInArrow(_arrays(words), "cls long, shingles binary").groupBy("cls").agg(F.first("shingles").alias("shingles")), "sets")
+    sets = written(docs.join(wanted.hint("merge"), "doc_id").select("cls", "text").mapInArrow(_arrays(words), "cls long, shingles binary").groupBy("cls").agg(F.first("shingles").alias("shingles")), "sets")
 
     links, label = None, members.select("cls").distinct().withColumn("label", F.col("cls"))
     done = []

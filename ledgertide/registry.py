@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgertide.plans import core, inference, portable
+
+PLANS = (portable, core, inference)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {k: v for plan in PLANS for k, v in plan.queries().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for plan in PLANS for k, v in plan.oracle_sql().items()}

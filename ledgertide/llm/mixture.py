@@ -3,8 +3,8 @@
 1. Documents are counted by source, exact size and seeded slot (64 slots by hash of the id); texts are not moved.
 2. Shares follow from the source totals alone: weights 1, 2, 3, repeating, limits of 3 times a source's size, what is
    over the limit shared out again by weight.
-3. A source repeats all its documents floor(target / size) times. For the rest of its budget, the same fraction of
-   every length is taken, then lengths from the longest down, one document each, and what is still left (less than
+3. A source repeats all its documents floor(target / size) times. For the rest of its budget, nearly the same
+   fraction of every length is taken, then lengths from the longest down, one document each, and what is still left (less than
    `room` words) is fitted by a bounded knapsack over the lengths that have documents left.
 4. Documents are chosen by length count in the order of their seeded hash: whole slots first, then the first ones of
    the slot in which the count ends. So no task ever orders more than a slot of one length of one source.
@@ -63,13 +63,14 @@ def fit_counts(sizes: np.ndarray, counts: np.ndarray, target: float, limit: int
     if whole == limit or rest <= 0:
         return whole, extra
     full = sizes > 0
-    extra[full] = np.floor(counts[full] * (rest / total)).astype(np.int64)
+    extra[full] = np.maximum(np.floor(counts[full] * (rest / total)).astype(np.int64) - 2, 0)
     left = rest - int((extra * sizes).sum())
-    for k in np.argsort(-sizes, kind="stable").tolist():
-        if sizes[k] and left - sizes[k] >= room and extra[k] < counts[k]:
-            take = int(min(counts[k] - extra[k], (left - room) // sizes[k], max(1, counts[k] // 8)))
-            extra[k] += take
-            left -= take * int(sizes[k])
+    for most in (1, 1, 1, total):  # one document of each length at a time, then as many as are needed
+        for k in np.argsort(-sizes, kind="stable").tolist():
+            if sizes[k] and left - sizes[k] >= room and extra[k] < counts[k]:
+                take = int(min(counts[k] - extra[k], (left - room) // sizes[k], most))
+                extra[k] += take
+                left -= take * int(sizes[k])
     usable = np.flatnonzero(full & (extra < counts) & (sizes <= left))[::-1]
     if left > 0 and len(usable):
         picked = knapsack(sizes[usable].tolist(), (counts - extra)[usable].tolist(), min(left, 64 * room))

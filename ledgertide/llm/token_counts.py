@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ledgertide.llm.common import written
+
 #: The split pattern published with the vocabulary (fixed value; the vocabulary's ranks hold for it alone).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -64,7 +66,8 @@ def length_answers(histogram: DataFrame, block: int = BLOCK) -> DataFrame:
     docs_at_least, tokens_at_least (suffix sums over lengths >= L), kept_tokens (all documents cut at L), lost_tokens,
     docs_up_to, share_up_to (the quantile at which L lies). Rows with equal n_tokens are added up first.
     """
-    one = histogram.groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs")).withColumn("block", F.floor(F.col("n_tokens") / block))
+    histogram = written(histogram.groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs")), "lengths")  # read twice below
+    one = histogram.withColumn("block", F.floor(F.col("n_tokens") / block))
     tokens = F.col("n_docs") * F.col("n_tokens")
     by_block = one.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum(tokens).alias("t"))
     later = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)  # a row for each 1024 lengths

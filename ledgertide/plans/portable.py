@@ -20,7 +20,7 @@ class Spark:
     date = staticmethod(lambda x: f"try_to_date({x}, 'yyyy-MM-dd')")
     seconds = staticmethod(lambda x: f"unix_micros(CAST({x} AS TIMESTAMP)) / 1e6")
     halfeven = staticmethod(lambda x, n: f"bround({x}, {n})")
-    items = staticmethod(lambda x: f"array_join(array_sort(collect_list({x})), ',')")
+    items = staticmethod(lambda x: f"nullif(array_join(array_sort(collect_list({x})), ','), '')")
     safe_div = staticmethod(lambda a, b: f"try_divide({a}, {b})")
     sequence = staticmethod(lambda a, b: f"sequence({a}, {b})")
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgertide.plans import core, inference, portable
+from ledgertide.plans import core, district, inference, portable
 
-PLANS = (portable, core, inference)
+PLANS = (portable, core, inference, district)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -51,7 +51,7 @@ def truncated_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hearings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(district, stage, at, gap): a listing and the minutes to the next one of the same user; stage is the event's type."""
     own = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    gap = (F.lead("ts").over(own).cast("double") - F.col("ts").cast("double")) / 60
+    gap = F.timestamp_diff("MICROSECOND", F.col("ts"), F.lead("ts").over(own)) / 6e7
     return table(spark, sf_dir, "events").select(F.pmod("user_id", F.lit(25)).alias("district"), F.col("event_type").alias("stage"), F.col("ts").alias("at"), gap.alias("gap"))
 
 

@@ -7,6 +7,8 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgertide.sources.archives import workbook
+
 
 def kind_of(columns: list[str], kinds: dict[str, set[str]]) -> str | None:
     """The first kind whose required columns are all there; headers are stripped and lower-cased."""
@@ -15,9 +17,12 @@ def kind_of(columns: list[str], kinds: dict[str, set[str]]) -> str | None:
 
 
 def read_any(spark: SparkSession, path: str) -> DataFrame:
-    """CSV (gzip too), Parquet, ORC or JSON lines by file name, with headers stripped and lower-cased; CSV as strings."""
+    """CSV (gzip too), Parquet, ORC, JSON lines or a workbook by file name, with headers stripped and lower-cased; CSV and
+    workbooks as strings."""
     name = path.lower().removesuffix(".gz")
-    if name.endswith(".csv"):
+    if name.endswith(".xlsx"):
+        df = workbook(spark, path)
+    elif name.endswith(".csv"):
         df = spark.read.option("header", True).csv(path)
     elif name.endswith((".json", ".jsonl")):
         df = spark.read.json(path)

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgertide.plans import core, district, grading, inference, portable
+from ledgertide.plans import audit, core, district, grading, inference, portable
 
-PLANS = (portable, core, inference, district, grading)
+PLANS = (portable, core, inference, district, grading, audit)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

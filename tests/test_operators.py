@@ -93,3 +93,12 @@ def test_streaming_cube(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [tuple(r) for r in spark.sql("SELECT district, f, d, n FROM cells").collect()] == [(1, 24000, 24002, 2)]
+
+
+def test_curve_drops_keep_gaps_and_lose_the_tail(spark):
+    from pyspark.sql import functions as F
+
+    from ledgertide.functions.text import drops
+
+    rows = spark.createDataFrame([([0.9, None, 0.85, 0.85, None],), ([],), ([None, None],), (None,), ([None, 0.5],)], "c array<double>")
+    assert [r.d for r in rows.select(drops(F.col("c")).alias("d")).collect()] == [[100, None, 50, 0], [], [], None, [None, 500]]

@@ -9,6 +9,8 @@
    one element that only one set has.
 4. What passes the bound is decided by intersecting the sorted shingle arrays. First every class tries only its
    closest partner; links found so merge classes, and then all pairs left between different components are tried.
+5. Where links are asked for, all pairs of classes inside a component are decided exactly, whichever tiles they share.
+   A component of many shingles is cut into blocks by hash, and each pair of blocks is a task of its own.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from ledgertide.llm.shingles import shingle_sets
 
 ROWS, BANDS = 4, 40
 CHUNK = 1 << 20
+BLOCK = 1 << 18  # shingles of a block, about
 
 
 def _classes(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -201,13 +204,72 @@ def _verify(percent: int):
     return run
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
-    """(doc_id, n_shingles, component_id, class_id): one row for each row of docs.
+def block_links(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> np.ndarray:
+    """(left, right) matrix of links: 100 * |intersection| >= percent * |union|. Sets are sorted and not empty."""
+    n = np.array([len(r) for r in right])
+    every, at = np.unique(np.concatenate(right), return_inverse=True)
+    starts = np.concatenate(([0], np.cumsum(n)[:-1]))
+    out = np.zeros((len(left), len(right)), bool)
+    for i, own in enumerate(left):
+        where = np.minimum(np.searchsorted(every, own), len(every) - 1)
+        held = np.zeros(len(every), np.int32)
+        held[where[every[where] == own]] = 1
+        common = np.add.reduceat(held[at], starts, dtype=np.int64)
+        out[i] = 100 * common >= percent * (len(own) + n - common)
+    return out
+
+
+def _link_counts(percent: int):
+    def solve(key: tuple, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        _, x, y = key
+        left, right = [r for r in rows if r[0] == x], [r for r in rows if r[0] == y]
+        if not left or not right or (x == y and len(left) < 2):
+            return
+        linked = block_links([r[3] for r in left], [r[3] for r in right], percent)
+        if x == y:
+            np.fill_diagonal(linked, False)
+        counts = [(left, linked @ np.array([r[2] for r in right], np.int64))]
+        if x != y:
+            counts.append((right, linked.T @ np.array([r[2] for r in left], np.int64)))
+        for side, n in counts:
+            yield pa.RecordBatch.from_arrays([pa.array([r[1] for r in side], pa.int64()), pa.array(n, pa.int64())], names=["cls", "links"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows = None, []
+        for batch in batches:
+            names, sets = [batch.column(k).to_pylist() for k in range(6)], batch.column(6)
+            for k, (label, x, y, block, cls, copies) in enumerate(zip(*names, strict=True)):
+                if (label, x, y) != key:
+                    if rows:
+                        yield from solve(key, rows)
+                    key, rows = (label, x, y), []
+                rows.append((block, cls, copies, np.frombuffer(sets[k].as_py(), np.uint64)))
+        if rows:
+            yield from solve(key, rows)
+
+    return run
+
+
+def _counted(classes: DataFrame, label: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(cls, links): rows of other classes that each class links with. Links lie inside components, whose pairs are all tried."""
+    linked = label.join(classes.select("cls", "n", "copies"), "cls")
+    blocks = linked.groupBy("label").agg(F.ceil(F.sum("n") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    laid = linked.join(blocks, "label").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    laid = laid.select("label", "block", "cls", "copies", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
+    laid = laid.join(sets, "cls").select("label", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "cls", "copies", "shingles")
+    counts = laid.repartition("label", "x", "y").sortWithinPartitions("label", "x", "y").mapInArrow(_link_counts(percent), "cls long, links long")
+    return counts.groupBy("cls").agg(F.sum("links").alias("links"))
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, rows: int = ROWS, bands: int = BANDS, links: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id, class_id) and, if links are asked for, n_links: one row for each row of docs.
 
     Two rows link when 100 * |intersection| >= percent * |union| of their shingle sets. component_id is the smallest
     id reachable by links. Null or empty texts have no shingles and link with nothing; their component is their own
     id. Rows that repeat an id are separate rows; texts under the same id can end in one component. A row with a
     null id is returned, joins the class of its own text, and opens no links of its own. Other columns are not read.
+    class_id names the set (null: no shingles). n_links is the number of other rows that a row links with, those of
+    its own class included; without it only as many links are decided as the components need.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     signed = written(docs.mapInArrow(_signatures(words, rows, bands), "doc_id long, n long, cls long, bitmap binary, keys array<long>"), "signed")
@@ -221,12 +283,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         .select("key")
     )
     members = written(entered.join(tiles, "key").distinct(), "members")
-    classes = signed.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("bitmap").alias("bitmap"))
+    classes = signed.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("bitmap").alias("bitmap"), F.count("*").alias("copies"))
     met = written(members.select("cls").distinct().join(classes, "cls").where("rep is not null"), "met")
     wanted = met.select(F.col("rep").alias("doc_id"), "cls")
     sets = written(docs.join(wanted.hint("merge"), "doc_id").select("cls", "text").mapInArrow(_arrays(words), "cls long, shingles binary").groupBy("cls").agg(F.first("shingles").alias("shingles")), "sets")
 
-    links, label = None, members.select("cls").distinct().withColumn("label", F.col("cls"))
+    joined, label = None, members.select("cls").distinct().withColumn("label", F.col("cls"))
     done = []
     for closest in (True, False):
         laid = members.join(met.select("cls", "n", "bitmap"), "cls").join(label, "cls", "left").select("key", "cls", "n", F.coalesce("label", "cls").alias("label"), "bitmap")
@@ -236,12 +298,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         pairs = laid.repartition("key").sortWithinPartitions("key").mapInArrow(_tiles(percent, closest), "a long, b long").distinct()
         pairs = pairs.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("y")), "b")
         found = written(pairs.select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long"), "links")
-        links = found if links is None else links.unionByName(found)
-        label = components(links).select(F.col("v").alias("cls"), "label")
+        joined = found if joined is None else joined.unionByName(found)
+        label = components(joined).select(F.col("v").alias("cls"), "label")
         done.append(found)
     whole = classes.select("cls", "rep").join(label, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     least = whole.groupBy("label").agg(F.min("rep").alias("component_id"))
     named = whole.join(least, "label").select("cls", "component_id")
+    if links:
+        counts = written(_counted(classes, label, sets, percent), "link-counts")
+        named = named.join(classes.select("cls", "copies"), "cls").join(counts, "cls", "left").select("cls", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     out = signed.select("doc_id", "n", F.when(F.col("n") > 0, F.col("cls")).alias("cls")).join(named, "cls", "left")
     forget(members, met, sets, *done)
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.col("cls").alias("class_id"))
+    more = [F.coalesce("n_links", F.lit(0)).alias("n_links")] if links else []
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.col("cls").alias("class_id"), *more)

@@ -4,8 +4,10 @@ import hashlib
 import re
 from collections import Counter
 
+from ledgertide.llm import jaccard_join
 from ledgertide.llm.components import components
 from ledgertide.llm.jaccard_join import jaccard_components
+from ledgertide.llm.queries import queries
 from ledgertide.llm.repeated_spans import repeated_spans
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -43,8 +45,39 @@ def test_components_equal_brute_force(odd, odd_rows):
     assert sum(v[1] != k for k, v in want.items()) > 10
 
 
+def brute_links(rows):
+    """Other rows that each row links with, repeated rows each counted."""
+    sets = [shingles(t) for _, t in rows]
+    return [sum(j != k and bool(b) and 100 * len(a & b) >= 80 * len(a | b) for k, b in enumerate(sets)) for j, a in enumerate(sets)]
+
+
+def test_links_equal_brute_force(spark, odd, odd_rows, monkeypatch):
+    rows = [(i, t) for i, t in odd_rows if i is not None]
+    w = [f"w{k}" for k in range(200)]
+    rows += [(1000 + k, " ".join(w[:k] + ["x"] + w[k + 1 :])) for k in range(0, 200, 9)]  # near copies: all pairs link, not only a tree of them
+    want = sorted(zip((i for i, _ in rows), brute_links(rows), strict=True))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for block in (1 << 18, 700):  # one block a component, and several
+        monkeypatch.setattr(jaccard_join, "BLOCK", block)
+        got = jaccard_components(docs, links=True).collect()
+        assert sorted((r.doc_id, r.n_links) for r in got) == want
+        name = {}
+        for r in got:  # equal class_id exactly where the sets are equal
+            own = shingles(dict(rows)[r.doc_id])
+            assert name.setdefault(own, r.class_id) == r.class_id and (r.class_id is None) == (not own)
+        assert len(set(name.values())) == len(name)
+
+
+def test_query_returns_links(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    got = queries()["op2_ngram_jaccard_join"](spark, sf).collect()
+    assert sorted((r.doc_id, r.n_links) for r in got) == sorted(zip((i for i, _ in rows), brute_links(rows), strict=True))
+
+
 def test_jaccard_of_nothing(nothing):
     assert jaccard_components(nothing).count() == 0
+    assert jaccard_components(nothing, links=True).count() == 0
 
 
 def test_contraction(spark):

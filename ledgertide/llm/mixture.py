@@ -4,8 +4,9 @@
 2. Shares follow from the source totals alone: weights 1, 2, 3, repeating, limits of 3 times a source's size, what is
    over the limit shared out again by weight.
 3. A source repeats all its documents floor(target / size) times. For the rest of its budget, nearly the same
-   fraction of every length is taken, then lengths from the longest down, one document each, and what is still left (less than
-   `room` words) is fitted by a bounded knapsack over the lengths that have documents left.
+   fraction of every length is taken, then lengths from the longest down, one document each. What is still left is less than
+   `room` words more than any length that has documents left: if no two of these fit, the longest that fits is taken, else
+   a bounded knapsack (of less than 2 * `room` words) fits them.
 4. Documents are chosen by length count in the order of their seeded hash: whole slots first, then the first ones of
    the slot in which the count ends. So no task ever orders more than a slot of one length of one source.
 """
@@ -72,8 +73,10 @@ def fit_counts(sizes: np.ndarray, counts: np.ndarray, target: float, limit: int
                 extra[k] += take
                 left -= take * int(sizes[k])
     usable = np.flatnonzero(full & (extra < counts) & (sizes <= left))[::-1]
-    if left > 0 and len(usable):
-        picked = knapsack(sizes[usable].tolist(), (counts - extra)[usable].tolist(), min(left, 64 * room))
+    if len(usable) and 2 * int(sizes[usable].min()) > left:
+        extra[usable[sizes[usable].argmax()]] += 1
+    elif left > 0 and len(usable):
+        picked = knapsack(sizes[usable].tolist(), (counts - extra)[usable].tolist(), left)
         extra[usable] += np.array(picked, np.int64)
     return whole, extra
 

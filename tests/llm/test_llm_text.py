@@ -162,3 +162,10 @@ def test_fit_counts_reaches_the_target():
         whole, extra = mix.fit_counts(sizes, counts, target)
         words = int(whole * (sizes * counts).sum() + (sizes * extra).sum())
         assert (extra <= counts).all() and 0 <= target - words + 0.5 and target - words < 3.5
+
+
+def test_fit_counts_takes_very_long_documents():
+    for sizes, counts, target, want in (([300_000], [2], 302_000, 300_000), ([300_000, 301_500, 303_000], [2, 2, 2], 302_000, 301_500), ([10, 5_000_000], [1, 2], 5_000_011, 5_000_010)):
+        sizes, counts = np.array(sizes), np.array(counts)
+        whole, extra = mix.fit_counts(sizes, counts, target)
+        assert whole == 0 and (extra <= counts).all() and int((sizes * extra).sum()) == want

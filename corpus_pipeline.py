@@ -7,6 +7,7 @@ columns of documents. The last returns one row for each document with the copies
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ledgertide.llm.common import table, written
 from ledgertide.llm.decontaminate import without_contaminated
@@ -22,9 +23,13 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of the n-gram Jaccard join, the document with the smallest id stays. Null ids stay."""
-    found = jaccard_components(docs.select("doc_id", "text"))
-    return docs.join(found.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """Of each component of the n-gram Jaccard join, one row stays: that with the smallest id, null last.
+
+    Rows are numbered and written, so rows that repeat an id, or have none, are told apart. Rows without words stay.
+    """
+    rows = written(docs.withColumn("row_number", F.monotonically_increasing_id()), "rows")
+    found = jaccard_components(rows, row_col="row_number")
+    return rows.join(found.where("not stays").select("row_number"), "row_number", "left_anti").select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -65,7 +65,7 @@ def bitmap(own: np.ndarray) -> bytes:
     return np.packbits(odd, bitorder="little").tobytes()
 
 
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("bitmap", pa.binary()), ("keys", pa.list_(pa.int64()))])
+_SIGNED = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("bitmap", pa.binary()), ("keys", pa.list_(pa.int64()))])
 
 
 def _signatures(words: int, rows: int, bands: int):
@@ -92,7 +92,7 @@ def _signatures(words: int, rows: int, bands: int):
                     for k in np.flatnonzero(first).tolist():
                         maps[k] = bitmap(sets[at[k] : at[k + 1]])
                 keys = pa.ListArray.from_arrays(pa.array(lists), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n), pa.array(names), pa.array(maps, pa.binary()), keys], schema=_SIGNED)
+                yield pa.RecordBatch.from_arrays([batch.column(2).slice(i, j - i), batch.column(0).slice(i, j - i), pa.array(n), pa.array(names), pa.array(maps, pa.binary()), keys], schema=_SIGNED)
 
     return run
 
@@ -261,18 +261,24 @@ def _counted(classes: DataFrame, label: DataFrame, sets: DataFrame, percent: int
     return counts.groupBy("cls").agg(F.sum("links").alias("links"))
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, rows: int = ROWS, bands: int = BANDS, links: bool = False) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, rows: int = ROWS, bands: int = BANDS, links: bool = False, row_col: str | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id, class_id) and, if links are asked for, n_links: one row for each row of docs.
 
     Two rows link when 100 * |intersection| >= percent * |union| of their shingle sets. component_id is the smallest
-    id reachable by links. Null or empty texts have no shingles and link with nothing; their component is their own
-    id. Rows that repeat an id are separate rows; texts under the same id can end in one component. A row with a
-    null id is returned, joins the class of its own text, and opens no links of its own. Other columns are not read.
+    id reachable by links, null if no row of the component has an id. Null or empty texts have no shingles and link
+    with nothing; their component is their own id. Rows that repeat an id or have none link like others. Other columns
+    are not read.
     class_id names the set (null: no shingles). n_links is the number of other rows that a row links with, those of
     its own class included; without it only as many links are decided as the components need.
+
+    Rows are told apart by row_col, a long that no two rows share and that is the same on each reading; without one
+    they are numbered in a table of their own. With one, row_col comes too, and stays: true for the row with the least
+    id of each component (null last, then the least row_col) and for rows without shingles.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    signed = written(docs.mapInArrow(_signatures(words, rows, bands), "doc_id long, n long, cls long, bitmap binary, keys array<long>"), "signed")
+    number = F.col(row_col).cast("long") if row_col else F.monotonically_increasing_id()
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"), number.alias("row"))
+    docs = docs if row_col else written(docs, "rows")
+    signed = written(docs.mapInArrow(_signatures(words, rows, bands), "row long, doc_id long, n long, cls long, bitmap binary, keys array<long>"), "signed")
     entered = signed.where("keys is not null and size(keys) > 0").select("cls", F.explode("keys").alias("key"))
     tiles = (
         entered.groupBy("key")
@@ -283,10 +289,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         .select("key")
     )
     members = written(entered.join(tiles, "key").distinct(), "members")
-    classes = signed.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("bitmap").alias("bitmap"), F.count("*").alias("copies"))
-    met = written(members.select("cls").distinct().join(classes, "cls").where("rep is not null"), "met")
-    wanted = met.select(F.col("rep").alias("doc_id"), "cls")
-    sets = written(docs.join(wanted.hint("merge"), "doc_id").select("cls", "text").mapInArrow(_arrays(words), "cls long, shingles binary").groupBy("cls").agg(F.first("shingles").alias("shingles")), "sets")
+    classes = signed.where("n > 0").groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", "row")).alias("least"), F.max("n").alias("n"), F.max("bitmap").alias("bitmap"), F.count("*").alias("copies"))
+    met = written(members.select("cls").distinct().join(classes, "cls"), "met")
+    wanted = met.select("least.row", "cls")
+    sets = written(docs.join(wanted.hint("merge"), "row").select("cls", "text").mapInArrow(_arrays(words), "cls long, shingles binary"), "sets")
+    if not row_col:
+        forget(docs)
 
     joined, label = None, members.select("cls").distinct().withColumn("label", F.col("cls"))
     done = []
@@ -301,13 +309,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         joined = found if joined is None else joined.unionByName(found)
         label = components(joined).select(F.col("v").alias("cls"), "label")
         done.append(found)
-    whole = classes.select("cls", "rep").join(label, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    least = whole.groupBy("label").agg(F.min("rep").alias("component_id"))
-    named = whole.join(least, "label").select("cls", "component_id")
+    whole = classes.select("cls", "least").join(label, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    least = whole.groupBy("label").agg(F.min("least").alias("first"))
+    named = whole.join(least, "label").select("cls", F.col("first.doc_id").alias("component_id"), F.col("first.row").alias("first_row"))
     if links:
         counts = written(_counted(classes, label, sets, percent), "link-counts")
-        named = named.join(classes.select("cls", "copies"), "cls").join(counts, "cls", "left").select("cls", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = signed.select("doc_id", "n", F.when(F.col("n") > 0, F.col("cls")).alias("cls")).join(named, "cls", "left")
+        named = named.join(classes.select("cls", "copies"), "cls").join(counts, "cls", "left").select("cls", "component_id", "first_row", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    out = signed.select("row", "doc_id", "n", F.when(F.col("n") > 0, F.col("cls")).alias("cls")).join(named, "cls", "left")
     forget(members, met, sets, *done)
     more = [F.coalesce("n_links", F.lit(0)).alias("n_links")] if links else []
+    more += [F.col("row").alias(row_col), F.coalesce(F.col("row") == F.col("first_row"), F.lit(True)).alias("stays")] if row_col else []
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.col("cls").alias("class_id"), *more)

@@ -1,9 +1,11 @@
 """Jaccard join, repeated spans and components against brute force."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
+import corpus_pipeline
 from ledgertide.llm import jaccard_join
 from ledgertide.llm.components import components
 from ledgertide.llm.jaccard_join import jaccard_components
@@ -68,6 +70,26 @@ def test_links_equal_brute_force(spark, odd, odd_rows, monkeypatch):
         assert len(set(name.values())) == len(name)
 
 
+def test_rows_without_own_ids(spark, odd_rows):
+    rng = random.Random(8)
+    w = [f"{rng.choice('abc')}{k}" for k in range(120)]
+    bridge = [" ".join([f"p{j}" for j in range(k)] + w[k:]) for k in (0, 8, 16)]  # the first and last link with the middle one only
+    assert [n for _, n in sorted(zip(range(3), brute_links(list(enumerate(bridge))), strict=True))] == [1, 2, 1]
+    copy, clean, lone = (" ".join(f"{c}{k}" for k in range(50)) for c in "xyz")
+    rows = [*odd_rows, (901, bridge[0]), (None, bridge[1]), (900, bridge[2]), (910, copy), (911, copy), (911, clean), (911, copy), (911, copy), (None, lone), (None, lone), (None, copy)]
+    got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), links=True).collect()
+    assert sorted(((r.doc_id, r.n_links) for r in got), key=str) == sorted(zip((i for i, _ in rows), brute_links(rows), strict=True), key=str)
+    assert {r.component_id for r in got if r.doc_id in (900, 901)} == {900}
+    full = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, full, "").collect()]
+    groups = brute_components([(k, t) for k, (_, t) in enumerate(rows)])
+    least = {}
+    for k, (_, top) in groups.items():
+        least[top] = min(least.get(top, k), k, key=lambda j: (rows[j][0] is None, rows[j][0] or 0, j))
+    assert sorted((i for i, _ in kept), key=str) == sorted((rows[k][0] for k in least.values()), key=str)
+    assert (911, clean) in kept and kept.count((None, lone)) == 1 and kept.count((3, "ab")) == 1 and [i for i, t in kept if t == copy] == [910]
+
+
 def test_query_returns_links(spark):
     sf = "/root/testdata/sf0.001"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]

@@ -172,7 +172,8 @@ def _passages(score, batches: Iterator[pa.RecordBatch], column: int) -> Iterator
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS) -> ToxicModel:
-    """The model. Without rows of both classes it scores everything alike, at the share of toxic labels seen.
+    """The model. Without rows that calibrate it scores everything alike, at the share of toxic labels seen, smoothed by
+    ten rows with a share of PRIOR: without any label nothing is toxic.
 
     To the driver come 2^18 counts and one row of figures for each document that calibrates, both bounded.
     """
@@ -206,6 +207,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
         features[:, 2] = np.log1p(features[:, 2])
         features[:, 1] = np.minimum(features[:, 1], 30.0)
         model.weights = tuple(float(w) for w in logistic(features, np.array([float(r.toxic) for r in held])))
+    else:
+        labelled = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic")).first()
+        odds = (labelled.toxic + 10 * PRIOR) / (labelled.n - labelled.toxic + 10 * (1 - PRIOR))
+        model.weights = (float(np.log(odds)), 0.0, 0.0)
     return model
 
 

@@ -73,6 +73,19 @@ def test_toxicity(spark, odd, odd_rows, nothing):
     assert tox.score_toxicity(odd, empty).count() == len(odd_rows)
 
 
+def test_toxicity_without_calibration(spark, odd, odd_rows):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = tox.fit_toxicity(docs, labels.limit(0))
+    assert tox.score_toxicity(odd, model).where("predicted = 1").count() == 0
+    assert tox.without_toxic(odd, model).count() == len(odd_rows)
+    free = [k for k in range(200) if zlib.crc32(str(k).encode()) % 4 != 2]
+    part = spark.createDataFrame([(k, f"text number {k}") for k in free], "doc_id long, text string").selectExpr("*", "pmod(xxhash64(text), 4) AS part")
+    rows = part.where("part <> 3").select("doc_id", "text")  # none calibrates
+    for toxic, kept in ((0, True), (1, False)):
+        some = tox.fit_toxicity(rows, rows.selectExpr("doc_id", f"{toxic} AS toxic"))
+        assert (tox.without_toxic(odd, some).count() == len(odd_rows)) == kept
+
+
 def test_tiff_layouts():
     rng = random.Random(1)
     for n in (0, 64, 65, 5000, 300_000):

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,10 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; one of our own only where that is unset (local tests)."""
+    """The folder named in spark.checkpoint.dir; one of our own only where that is unset and all runs on one machine."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _OWN:
         _OWN.append("file://" + tempfile.mkdtemp(prefix="ledgertide-"))
     return _OWN[0]
@@ -111,10 +114,35 @@ def random_words(seed: int, n: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(0, 2**64, n, dtype=np.uint64)
 
 
+def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte ranges, none empty: eight bytes at a time go through a finaliser that is one to one.
+
+    Ranges of up to 8 bytes and equal length never collide; others do as random 64-bit values would, however regular
+    their bytes are. Ranges of over 512 bytes are hashed one by one.
+    """
+    size = end - start
+    out = mix(size.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    words = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    left = np.flatnonzero(size <= 512)
+    at, k = start[left], 0
+    while len(left):
+        rest = np.minimum(size[left] - k, 8).astype(np.uint64)
+        part = words[at + k] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * rest))
+        out[left] = mix(out[left] ^ part)
+        k += 8
+        more = size[left] > k
+        left, at = left[more], at[more]
+    for i in np.flatnonzero(size > 512).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]].tobytes())
+    return out
+
+
 class Rolling:
     """Polynomial hashes of byte ranges modulo 2^64 over random byte codes; any range in a few operations.
 
-    powers are kept for `room` bytes and grow when a longer text comes.
+    Regular texts can make different ranges equal, so these choose places and buckets only; what decides is compared
+    otherwise. powers are kept for `room` bytes and grow when a longer text comes.
     """
 
     def __init__(self, seed: int, room: int = 1 << 20):

@@ -4,27 +4,23 @@ from __future__ import annotations
 
 import numpy as np
 
-from ledgertide.llm.common import Rolling, mix, random_words
+from ledgertide.llm.common import mix, random_words, range_hashes
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _STEP = random_words(11, 64) | np.uint64(1)
-_ROLL: list[Rolling] = []
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words `[^\\x20\\x09-\\x0D]+` of texts laid end to end, A-Z lower-cased, and n + 1 word offsets by text."""
-    if not _ROLL:
-        _ROLL.append(Rolling(7))
     inside = ~_SPACE[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     start = np.flatnonzero(inside & (edge[:-1] | ~np.concatenate(([False], inside[:-1]))))
     end = np.flatnonzero(inside & (edge[1:] | ~np.concatenate((inside[1:], [False])))) + 1
-    hashes = mix(_ROLL[0].ranges(_ROLL[0].sums(_LOWER[data]), start, end) + (end - start).astype(np.uint64))
-    return hashes, np.searchsorted(start, offsets)
+    return range_hashes(_LOWER[data], start, end), np.searchsorted(start, offsets)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int = 5) -> tuple[np.ndarray, np.ndarray]:

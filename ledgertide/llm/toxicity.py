@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgertide.llm.common import Rolling, held_out, mix, spans_of, text_buffer
+from ledgertide.llm.common import held_out, range_hashes, spans_of, text_buffer
 
 CODES = 1 << 18
 PER_CLASS = 12_000
@@ -32,19 +32,16 @@ _CHAR = np.zeros(256, bool)
 _CHAR[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_ROLL: list[Rolling] = []
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(codes, starts, ends, n + 1 token offsets by text) of texts laid end to end."""
-    if not _ROLL:
-        _ROLL.append(Rolling(23, CHUNK + 1))
     inside = _CHAR[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     start = np.flatnonzero(inside & (edge[:-1] | ~np.concatenate(([False], inside[:-1]))))
     end = np.flatnonzero(inside & (edge[1:] | ~np.concatenate((inside[1:], [False])))) + 1
-    names = mix(_ROLL[0].ranges(_ROLL[0].sums(_LOWER[data]), start, end) + (end - start).astype(np.uint64))
+    names = range_hashes(_LOWER[data], start, end)
     return (names >> np.uint64(46)).astype(np.int64), start, end, np.searchsorted(start, offsets)
 
 

@@ -5,12 +5,15 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+
 import corpus_pipeline
 from ledgertide.llm import jaccard_join
 from ledgertide.llm.components import components
 from ledgertide.llm.jaccard_join import jaccard_components
 from ledgertide.llm.queries import queries
 from ledgertide.llm.repeated_spans import repeated_spans
+from ledgertide.llm.shingles import shingle_sets, word_hashes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
@@ -59,8 +62,9 @@ def test_links_equal_brute_force(spark, odd, odd_rows, monkeypatch):
     rows += [(1000 + k, " ".join(w[:k] + ["x"] + w[k + 1 :])) for k in range(0, 200, 9)]  # near copies: all pairs link, not only a tree of them
     want = sorted(zip((i for i, _ in rows), brute_links(rows), strict=True))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    for block in (1 << 18, 700):  # one block a component, and several
+    for block, tile in ((1 << 18, 2048), (700, 3)):  # one block a component or tile, and several
         monkeypatch.setattr(jaccard_join, "BLOCK", block)
+        monkeypatch.setattr(jaccard_join, "TILE", tile)
         got = jaccard_components(docs, links=True).collect()
         assert sorted((r.doc_id, r.n_links) for r in got) == want
         name = {}
@@ -90,6 +94,46 @@ def test_rows_without_own_ids(spark, odd_rows):
     assert (911, clean) in kept and kept.count((None, lone)) == 1 and kept.count((3, "ab")) == 1 and [i for i, t in kept if t == copy] == [910]
 
 
+def thue_morse(order, letters):
+    out = [0]
+    for _ in range(order):
+        out += [1 - b for b in out]
+    return "".join(letters[b] for b in out)
+
+
+def test_regular_words_do_not_collide(spark):
+    """Thue-Morse words are the classic clash of polynomial hashes modulo 2^64."""
+    for order in (3, 6, 8, 10, 12):
+        rows = [(k, thue_morse(order, pair)) for k, pair in enumerate(("ab", "ba"))]
+        data, at = np.frombuffer("".join(t for _, t in rows).encode(), np.uint8), np.array([0, 1 << order, 2 << order])
+        assert len(set(word_hashes(data, np.array([0, 1 << order]))[0]) | set(word_hashes(data[1 << order :], np.array([0, 1 << order]))[0])) == 2 and len(shingle_sets(data, at)[0]) == 2
+    got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(0, 0), (1, 1)]
+
+
+def test_prefixes_meet(spark):
+    """Any two sets that reach the threshold share a shingle of their prefixes, under any levels."""
+    rng = np.random.default_rng(5)
+    levels = rng.integers(0, 5, jaccard_join.COUNTERS).astype(np.uint8)
+    for _ in range(300):
+        both = rng.integers(0, 2**64, int(rng.integers(1, 60)), dtype=np.uint64)
+        one, two = (np.unique(np.concatenate((both, rng.integers(0, 2**64, int(rng.integers(0, 9)), dtype=np.uint64)))) for _ in range(2))
+        common = len(np.intersect1d(one, two))
+        if 100 * common >= 80 * (len(one) + len(two) - common):
+            assert len(np.intersect1d(jaccard_join.prefix(one, levels, 80), jaccard_join.prefix(two, levels, 80)))
+
+
+def test_links_at_the_threshold(spark):
+    """Pairs with similarity of exactly 0.8 and just below, at many sizes."""
+    rows = []
+    for k, (both, own) in enumerate([(4, 1), (8, 2), (40, 10), (39, 10), (400, 100), (399, 100), (796, 199), (795, 200)]):
+        shared = [f"s{k}.{j}" for j in range(both + 4)]
+        rows += [(10 * k, " ".join(shared + [f"x{k}.{j}" for j in range(own)])), (10 * k + 1, " ".join(shared))]
+    got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), links=True).collect()
+    assert sorted((r.doc_id, r.n_links) for r in got) == sorted(zip((i for i, _ in rows), brute_links(rows), strict=True))
+    assert sum(r.n_links for r in got) > 6
+
+
 def test_query_returns_links(spark):
     sf = "/root/testdata/sf0.001"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]

@@ -15,8 +15,9 @@
 5. Where links are asked for, all pairs of classes inside a component are decided exactly, whichever tiles they share.
    A component of many shingles is cut into blocks by hash, and each pair of blocks is a task of its own.
 
-Classes are told apart by 128 bits, shingles by 64: a pair of sets of 20,000 shingles meets an equal hash of different
-shingles with probability 2e-11, and then its overlap is one too large.
+Classes are told apart by 128 bits, so equal names never link different sets; tiles go by the first 64, and of two
+classes that share these (probability n * n / 4e19 for n classes) only one enters tiles. Shingles have 64 bits: a pair
+of sets of 20,000 meets an equal hash of different shingles with probability 2e-11, and then its overlap is one too large.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgertide.llm.common import forget, mix, spans_of, text_buffer, written
@@ -183,11 +184,15 @@ def _folded(maps: np.ndarray) -> np.ndarray:
 
 
 def closest_pairs(n: np.ndarray, maps: list[bytes], percent: int) -> list[tuple[int, int]]:
-    """For each row of a block the larger or equal one that differs least, if its overlap bound reaches the threshold."""
+    """For each row of a block the other one that differs least, if any overlap bound reaches the threshold."""
     rows, out = _Layers(n, maps), []
-    last = np.searchsorted(n, 100 * n // percent, "right")  # the band of sizes that can still link
-    for i in range(len(n) - 1):
-        best = min(((float(share.min()), int(found[share.argmin()])) for found, share in rows.near(int(n[i]), rows.bitmap(i), i + 1, int(last[i]), percent) if len(found)), default=None)
+    first, last = np.searchsorted(n, -(-percent * n // 100)), np.searchsorted(n, 100 * n // percent, "right")
+    for i in range(len(n)):  # the band of sizes that can link, but for the row itself
+        best = None
+        for low, high in ((int(first[i]), i), (i + 1, int(last[i]))):
+            for found, share in rows.near(int(n[i]), rows.bitmap(i), low, high, percent):
+                if len(found) and (best is None or share.min() < best[0]):
+                    best = share.min(), int(found[share.argmin()])
         if best:
             out.append((i, best[1]))
     return out
@@ -324,21 +329,37 @@ def _block(blocks: str, salt: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(salt), "cls", "key"), F.col(blocks))
 
 
-def _laid(members: DataFrame, met: DataFrame, label: DataFrame | None) -> DataFrame:
-    """Members of tiles as _tiles reads them: in blocks of one tile at first; with labels, what may still link, left against right."""
-    sized = members.join(members.groupBy("key").agg(F.ceil(F.count("*") / F.lit(TILE)).alias("blocks")), "key").join(met.select("cls", "n", "bitmap"), "cls")
-    zero = F.lit(0).cast("long")
-    if label is None:
-        return sized.select("key", _block("blocks", 1).alias("block"), zero.alias("other"), F.lit(False).alias("left"), "cls", "n", F.col("cls").alias("label"), "bitmap")
+def _sized(members: DataFrame) -> DataFrame:
+    return members.join(members.groupBy("key").agg(F.ceil(F.count("*") / F.lit(TILE)).alias("blocks")), "key")
+
+
+def _one_sided(members: DataFrame) -> DataFrame:
+    """Members in blocks of one tile, as _tiles reads them but for n and bitmap."""
+    return _sized(members).select("key", _block("blocks", 1).alias("block"), F.lit(0).cast("long").alias("other"), F.lit(False).alias("left"), "cls", F.col("cls").alias("label"))
+
+
+def _two_sided(members: DataFrame, label: DataFrame, tried: DataFrame) -> DataFrame:
+    """What may still link: the classes outside a tile's most frequent component (left) against all of the tile (right).
+
+    In a tile of one block a class without a closest partner has no partner at all.
+    """
+    some = tried.select(F.col("a").alias("cls")).union(tried.select("b")).distinct().withColumn("tried", F.lit(True))
+    sized = _sized(members).join(some, "cls", "left").where("blocks > 1 or tried").drop("tried")
     sized = sized.join(label, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     shares = sized.groupBy("key", "label").agg(F.count("*").alias("m")).groupBy("key").agg(F.max_by("label", F.struct("m", "label")).alias("major"), (F.sum("m") - F.max("m")).alias("others"))
     sized = sized.join(shares.where("others > 0").select("key", "major", F.ceil(F.col("others") / F.lit(TILE)).alias("groups")), "key")
     every = lambda n: F.explode(F.expr(f"sequence(0L, {n} - 1)"))
-    left = sized.where("label <> major").select("key", _block("groups", 2).alias("block"), every("blocks").alias("other"), F.lit(True).alias("left"), "cls", "n", "label", "bitmap")
-    right = sized.select("key", every("groups").alias("block"), _block("blocks", 3).alias("other"), F.lit(False).alias("left"), "cls", "n", "label", "bitmap")
+    left = sized.where("label <> major").select("key", _block("groups", 2).alias("block"), every("blocks").alias("other"), F.lit(True).alias("left"), "cls", "label")
+    right = sized.select("key", every("groups").alias("block"), _block("blocks", 3).alias("other"), F.lit(False).alias("left"), "cls", "label")
     return left.unionByName(right)
 
 
+def _sets(docs: DataFrame, met: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
+    """(cls, shingles) of the classes in pairs."""
+    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct().join(met.select("cls", "row"), "cls")
+    return docs.join(wanted.hint("merge"), "row").select("cls", "text").mapInArrow(_arrays(words), "cls long, shingles binary")
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, links: bool = False, row_col: str | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id, class_id) and, if links are asked for, n_links: one row for each row of docs.
 
@@ -360,25 +381,33 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     levels = docs.sparkSession.sparkContext.broadcast(shingle_levels(docs, words))
     signed = written(docs.mapInArrow(_signatures(words, percent, levels), "row long, doc_id long, n long, x long, y long, bitmap binary, keys array<long>"), "signed")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", "row")).alias("least")
-    kept = F.min(F.when(F.col("keys").isNotNull(), F.col("row"))).alias("cls")  # a class goes by a row that carries its tiles
-    classes = written(signed.where("n > 0").groupBy("x", "y").agg(kept, least, F.max("n").alias("n"), F.count("*").alias("copies")), "classes")
-    heads = written(signed.where("keys is not null").select(F.col("row").alias("cls"), "n", "bitmap", "keys").join(classes.select("cls").hint("merge"), "cls"), "heads")
-    entered = heads.select("cls", F.explode("keys").alias("key"))
+    kept = F.min(F.when(F.col("keys").isNotNull(), F.col("row"))).alias("kept")  # a row that carries the tiles
+    classes = signed.where("n > 0").groupBy("x", "y").agg(kept, least, F.max("n").alias("n"), F.count("*").alias("copies"))
+    main = F.row_number().over(Window.partitionBy("x").orderBy("y")) == 1
+    classes = written(classes.withColumn("cls", F.when(main, F.col("x")).otherwise(F.xxhash64("x", "y"))), "classes")
+    entered = signed.where("keys is not null").select(F.col("x").alias("cls"), F.explode("keys").alias("key")).repartition("key")
     shared = entered.groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low <> high").select("key")
-    crowd = written(entered.join(shared, "key"), "crowd")
+    crowd = written(entered.join(shared.hint("merge"), "key").distinct(), "crowd")
     alike = crowd.groupBy("key").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("cls")).alias("odd"), F.bit_xor(F.xxhash64(F.lit(1), "cls")).alias("even"))
     members = written(crowd.join(alike.groupBy("m", "odd", "even").agg(F.min("key").alias("key")).select("key"), "key"), "members")
-    met = written(members.select("cls").distinct().join(heads.select("cls", "n", "bitmap"), "cls"), "met")
-    wanted = met.select(F.col("cls").alias("row"))
-    sets = written(docs.join(wanted.hint("merge"), "row").select(F.col("row").alias("cls"), "text").mapInArrow(_arrays(words), "cls long, shingles binary"), "sets")
-    forget(crowd, heads)
-    if not row_col:
-        forget(docs)
+    heads = members.select("cls").distinct().join(classes.select("cls", "kept"), "cls").select("cls", F.col("kept").alias("row"))
+    met = written(heads.join(signed.where("keys is not null").select("row", "n", "bitmap"), "row"), "met")
+    forget(crowd)
 
-    joined, label, done = None, None, []
+    joined, label, sets, tried, done = None, None, None, None, []
     for closest in (True, False):
-        laid = _laid(members, met, label).repartition("key", "block", "other").sortWithinPartitions("key", "block", "other")
-        pairs = laid.mapInArrow(_tiles(percent, closest), "a long, b long").distinct()
+        laid = _one_sided(members) if closest else _two_sided(members, label, tried)
+        laid = laid.join(met.select("cls", "n", "bitmap"), "cls").select("key", "block", "other", "left", "cls", "n", "label", "bitmap")
+        laid = laid.repartition("key", "block", "other").sortWithinPartitions("key", "block", "other")
+        pairs = written(laid.mapInArrow(_tiles(percent, closest), "a long, b long").distinct(), "pairs")
+        tried, more = (pairs, pairs) if closest else (tried, None)
+        if not closest:  # classes that meet a partner only now
+            lacking = pairs.select(F.explode(F.array("a", "b")).alias("a")).distinct().join(sets.select(F.col("cls").alias("a")), "a", "left_anti")
+            more = None if lacking.isEmpty() else lacking.withColumn("b", F.col("a"))
+        if more is not None:
+            got = written(_sets(docs, met, more, words), "sets")
+            sets = got if sets is None else sets.unionByName(got)
+            done.append(got)
         pairs = pairs.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("y")), "b")
         found = written(pairs.select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long"), "links")
         joined = found if joined is None else joined.unionByName(found)
@@ -391,7 +420,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         counts = written(_counted(classes, label, sets, percent), "link-counts")
         named = named.join(counts, "cls", "left").withColumn("n_links", F.coalesce("links", F.lit(0)) + F.col("copies") - 1)
     out = signed.select("row", "doc_id", "n", "x", "y").join(named, ["x", "y"], "left")
-    forget(members, met, sets, *done)
+    forget(members, met, *done)
+    if not row_col:
+        forget(docs)
     more = [F.coalesce("n_links", F.lit(0)).alias("n_links")] if links else []
     more += [F.col("row").alias(row_col), F.coalesce(F.col("row") == F.col("first_row"), F.lit(True)).alias("stays")] if row_col else []
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.col("cls").alias("class_id"), *more)

@@ -9,6 +9,7 @@ import numpy as np
 
 import corpus_pipeline
 from ledgertide.llm import jaccard_join
+from ledgertide.llm import repeated_spans as suffixes
 from ledgertide.llm.components import components
 from ledgertide.llm.jaccard_join import jaccard_components
 from ledgertide.llm.queries import queries
@@ -168,9 +169,43 @@ def brute_spans(rows):
     return sorted(out, key=str)
 
 
-def test_spans_equal_brute_force(odd, odd_rows):
-    got = sorted([(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeated_spans(odd).collect()], key=str)
-    assert got == brute_spans(odd_rows)
+def spans(docs):
+    return sorted([(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeated_spans(docs).collect()], key=str)
+
+
+def test_spans_equal_brute_force(odd, odd_rows, monkeypatch):
+    for hot, most in ((4096, 20_000), (4096, 5), (3, 20_000)):  # all sorted, sorted in many rounds, most buckets hot
+        monkeypatch.setattr(suffixes, "HOT", hot)
+        monkeypatch.setattr(suffixes, "ROUND", most)
+        assert spans(odd) == brute_spans(odd_rows)
+
+
+def test_spans_of_regular_and_shared_texts(spark, monkeypatch):
+    rng = random.Random(12)
+    junk = lambda n: "".join(rng.choice("abcdefghij \0é") for _ in range(n))
+    passage = junk(330)
+    rows = [(2 * order + k, thue_morse(order, pair)) for order in (8, 9, 10, 12) for k, pair in enumerate(("ab", "ba"))]
+    rows += [(100 + k, junk(rng.randrange(90)) + passage[: rng.randrange(200, 331)] + junk(rng.randrange(90))) for k in range(60)]
+    rows += [(200, passage), (201, passage[100:]), (202, "\0" * 199), (203, "\0" * 200), (204, "\0" * 201), (205, passage[:199]), (206, passage * 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for hot in (4096, 3):
+        monkeypatch.setattr(suffixes, "HOT", hot)
+        assert spans(docs) == brute_spans(rows)
+
+
+def test_radix_order():
+    rng = np.random.default_rng(3)
+    for _ in range(40):
+        texts = [bytes(rng.integers(0, 2, int(rng.integers(0, 40))).astype(np.uint8)) for _ in range(30)]
+        at = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+        bucket = np.sort(rng.integers(0, 4, 30))
+        place, shared = suffixes.radix_order(np.frombuffer(b"".join(texts), np.uint8), at[:-1], at[1:], bucket, 20)
+        padded = [(b, t.ljust(24, b"\0")[:24]) for b, t in zip(bucket.tolist(), texts, strict=True)]
+        laid = [padded[k] for k in np.argsort(place)]
+        assert [(b, t[:20]) for b, t in laid] == sorted((b, t[:20]) for b, t in padded)
+        for k in range(1, 30):
+            both = next((j for j in range(20) if laid[k][1][j] != laid[k - 1][1][j]), 20)
+            assert shared[k] == (both if laid[k][0] == laid[k - 1][0] else -1)
 
 
 def test_spans_of_nothing(nothing):

@@ -9,17 +9,17 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
-from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgertide.llm.token_counts import PATTERN, VOCABULARY, encoder, vocabulary
+
 START, END = "<|im_start|>", "<|im_end|>"
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
-_TOKENIZERS: dict[int, object] = {}
+_TOKENIZERS: dict[int, tuple] = {}
 _OPEN = re.compile(r"<(\\*)\|")
 _TURN = re.compile(re.escape(START) + r"(.*?)\n(.*?)" + re.escape(END) + r"\n", re.DOTALL)
 
@@ -66,19 +66,20 @@ def read_turns(formatted: str) -> list[tuple[str, str]]:
     return turns
 
 
-def mask_tokens(offsets: list[tuple[int, int]], spans: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+def mask_tokens(starts: np.ndarray, ends: np.ndarray, spans: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(token, start, end): for every token that a span overlaps, the characters of it under the mask.
 
-    Offsets and spans are sorted. For each span, the first token that ends after its start and the first that starts
-    at or after its end are found by binary search; a token across an edge keeps only its part inside.
+    Token starts and ends, and spans, are sorted. For each span, the first token that ends after its start and the first
+    that starts at or after its end are found by binary search; a token across an edge keeps only its part inside.
     """
-    starts, ends = [a for a, _ in offsets], [b for _, b in offsets]
-    out = []
-    for a, b in spans:
-        for t in range(bisect_right(ends, a), bisect_left(starts, b)):
-            if starts[t] < ends[t] and a < b:
-                out.append((t, max(a, starts[t]), min(b, ends[t])))
-    return out
+    low, high = np.array(spans, np.int64).reshape(-1, 2).T
+    first, past = np.searchsorted(ends, low, "right"), np.searchsorted(starts, high, "left")
+    n = np.where(low < high, np.maximum(past - first, 0), 0)
+    span = np.repeat(np.arange(len(n)), n)
+    token = np.arange(len(span)) - np.repeat(np.cumsum(n) - n, n) + first[span]
+    keep = starts[token] < ends[token]
+    token, span = token[keep], span[keep]
+    return token, np.maximum(low[span], starts[token]), np.minimum(high[span], ends[token])
 
 
 def masked_ranges(masked: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
@@ -96,16 +97,32 @@ def masked_ranges(masked: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def tokenizer(raw: bytes):
-    from tokenizers import AddedToken, Tokenizer
+def tokenizer(raw: bytes) -> tuple:
+    """(byte-level encoder with the two control strings, number of bytes of each token)."""
+    import tiktoken
 
     if (key := hash(raw)) not in _TOKENIZERS:
-        made = Tokenizer.from_str(raw.decode())
-        made.add_special_tokens([AddedToken(x, special=True, normalized=False) for x in (START, END)])
-        _TOKENIZERS[key] = made
+        plain = encoder(raw)
+        made = tiktoken.Encoding("chat", pat_str=PATTERN, mergeable_ranks=plain._mergeable_ranks, special_tokens={START: plain.n_vocab, END: plain.n_vocab + 1})
+        size = np.zeros(plain.n_vocab + 2, np.int64)
+        for token, rank in plain._mergeable_ranks.items():
+            size[rank] = len(token)
+        size[-2:] = len(START), len(END)
+        _TOKENIZERS[key] = made, size
     return _TOKENIZERS[key]
 
 
+def encode_with_offsets(text: str, made, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(token ids, starts, ends) in characters. Tokens lie end to end in bytes; those within a character share it."""
+    ids = made.encode_to_numpy(text, allowed_special="all").astype(np.int64)
+    past = np.cumsum(size[ids])
+    if text.isascii():
+        return ids, past - size[ids], past
+    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    head = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))  # characters that begin before each byte
+    return ids, head[past - size[ids] + 1] - 1, head[past]
+
+
 def conversations(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """(conv_id, turns): turns in order of their number (null first), then role and text; null roles and texts are empty."""
     turn = F.struct(F.col(turn_col).cast("long").alias("turn"), F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -113,24 +130,26 @@ def conversations(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
 
 
 def formatted(rows: DataFrame, learn: str = "assistant", vocabulary_path: str = VOCABULARY, **columns: str) -> DataFrame:
-    """(conv_id, formatted, token_ids, mask): one row for each conversation.
+    """(conv_id, formatted, token_ids, mask_token, mask_start, mask_end): one row for each conversation.
 
-    mask holds (token, start, end): tokens under the loss mask and the characters of the formatted text that each
-    brings. Conversations with equal ids are one conversation; a null id is one, too.
+    The mask: tokens under it and the characters of the formatted text that each brings. Rows with equal ids are one
+    conversation, and rows without an id are one, too; equal turn numbers go by role and text, repeated rows stay. Very
+    long conversations are rendered whole: one row each. An empty table gives no rows. Other columns are not read.
     """
-    raw = rows.sparkSession.sparkContext.broadcast(Path(vocabulary_path).read_bytes())
-    ints = pa.list_(pa.int32())
+    raw = vocabulary(rows.sparkSession, vocabulary_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = tokenizer(raw.value)
+        made, size = tokenizer(raw.value)
+        ints = pa.list_(pa.int32())
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 drawn = [render([(t["role"], t["text"]) for t in turns], learn) for turns in part.column(1).to_pylist()]
-                codes = [made.encode(text, add_special_tokens=False) for text, _ in drawn]
-                masks = [mask_tokens(c.offsets, spans) for c, (_, spans) in zip(codes, drawn, strict=True)]
+                codes = [encode_with_offsets(text, made, size) for text, _ in drawn]
+                masks = [mask_tokens(c[1], c[2], spans) for c, (_, spans) in zip(codes, drawn, strict=True)]
+                lists = [[c[0] for c in codes], *([m[k] for m in masks] for k in range(3))]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([t for t, _ in drawn]), pa.array([c.ids for c in codes], ints), *[pa.array([[x[k] for x in m] for m in masks], ints) for k in range(3)]],
+                    [part.column(0), pa.array([t for t, _ in drawn]), *[pa.array([x.astype(np.int32) for x in own], ints) for own in lists]],
                     names=["conv_id", "formatted", "token_ids", "mask_token", "mask_start", "mask_end"],
                 )
 

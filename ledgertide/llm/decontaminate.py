@@ -19,8 +19,6 @@ from pyspark.sql import functions as F
 RATE = 0.08
 #: Characters of benchmark items in one automaton (about 100 bytes of memory each).
 BLOCK_CHARS = 2_000_000
-#: Items shorter than this are compared exactly, without edits.
-LEAST_PIECE = 12
 _AUTOMATA: dict[int, tuple] = {}
 
 
@@ -29,8 +27,8 @@ def normal(text: str | None) -> str:
 
 
 def pieces(item: str, rate: float = RATE) -> tuple[int, list[tuple[int, str]]]:
-    """(budget, [(offset, piece)]): budget + 1 pieces of nearly equal length, none shorter than LEAST_PIECE."""
-    budget = max(0, min(int(len(item) * rate), len(item) // LEAST_PIECE - 1))
+    """(budget, [(offset, piece)]): floor(length * rate) edits, and budget + 1 pieces of nearly equal length."""
+    budget = int(len(item) * rate)
     cuts = [len(item) * k // (budget + 1) for k in range(budget + 2)]
     return budget, [(a, item[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
@@ -151,7 +149,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """(doc_id, item_id, distance, end_at): benchmark items that occur in a row of docs within their error budget.
 
     One row for each row of docs and item found; distance is the least number of edits, end_at where that match ends
-    in the normalised text. Null or empty texts and items match nothing. Repeated ids are separate rows.
+    in the normalised text. Null or empty texts and items match nothing. Repeated ids are separate rows, null ids stay
+    null; repeated items are one. Very long texts are searched whole. Empty tables give no rows. Columns other than the
+    four are not read, whatever their names.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -169,7 +169,10 @@ def contaminated_documents(found: DataFrame) -> DataFrame:
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rate: float = RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """docs without the rows that contaminated() would list; all columns stay as they are, nothing is moved."""
+    """docs without the rows that contaminated() would list; all columns stay as they are, nothing is moved.
+
+    Null and empty texts stay, and without benchmark items everything does.
+    """
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where("text is not null").distinct()
     column = docs.columns.index(text_col)
 

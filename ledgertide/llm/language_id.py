@@ -2,7 +2,7 @@
 
 A text is read in windows of 64 bytes. In each, one network reads forwards and one backwards; their states give every
 position a distribution over languages, and a document's distribution is the mean over all its positions. Training
-rows are a bounded sample for each language (`per_lang` rows, `piece` characters from a seeded place of each); the
+rows are a bounded sample for each language (`per_lang` rows); `crops` windows are drawn from the whole of each. The
 weights, under 20 KB, go to the executors. Every byte of every text is read when predicting.
 """
 
@@ -13,13 +13,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgertide.llm.common import held_out, text_buffer
+from ledgertide.llm.common import held_out, least_hashes, text_buffer
 
 SPAN, HIDDEN, EMBED = 64, 8, 8
-PER_LANG, PIECE = 384, 1024
+PER_LANG, CROPS = 384, 64
 BATCH = 2048
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -127,8 +127,8 @@ class ByteGru:
         return loss, grads
 
 
-def train(texts: list[bytes], labels: np.ndarray, classes: int, steps: int = 400, batch: int = 256, rate: float = 0.02, seed: int = 0) -> ByteGru:
-    """Adam over seeded crops of SPAN bytes, languages in equal shares."""
+def train(crops: list[list[bytes]], labels: np.ndarray, classes: int, steps: int = 400, batch: int = 256, rate: float = 0.02, seed: int = 0) -> ByteGru:
+    """Adam over crops of up to SPAN bytes, languages in equal shares; crops: those of each training text."""
     rng, net = np.random.default_rng(seed), ByteGru(classes, seed)
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     groups = [np.flatnonzero(labels == c) for c in range(classes)]
@@ -136,9 +136,8 @@ def train(texts: list[bytes], labels: np.ndarray, classes: int, steps: int = 400
         label = rng.integers(0, classes, batch)
         data, mask = np.zeros((SPAN, batch), np.uint8), np.zeros((SPAN, batch), np.float32)
         for k, c in enumerate(label.tolist()):
-            raw = texts[int(rng.choice(groups[c]))]
-            a = int(rng.integers(0, max(1, len(raw) - SPAN + 1)))
-            part = np.frombuffer(raw, np.uint8)[a : a + SPAN]
+            own = crops[int(rng.choice(groups[c]))]
+            part = np.frombuffer(own[int(rng.integers(0, len(own)))], np.uint8)
             data[: len(part), k], mask[: len(part), k] = part, 1
         _, grads = net.gradients(data, mask, label)
         now = rate * min(1.0, 2.0 * (1 - step / (steps + 1)))
@@ -171,25 +170,43 @@ def document_probabilities(net: ByteGru, data: np.ndarray, offsets: np.ndarray)
     return out / np.maximum(sizes, 1)[:, None]
 
 
-def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: int = PER_LANG, piece: int = PIECE) -> DataFrame:
-    """(lang, text): at most per_lang rows of each language that are not held out, least hash first; a piece of each."""
-    rank = F.xxhash64(F.lit(17), F.col(id_col))
+def _crops(n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for lang, rank, text in zip(*(batch.column(k).to_pylist() for k in range(2)), batch.column(2), strict=True):
+                raw, rng = text.as_buffer().to_pybytes(), np.random.default_rng(rank & (2**63 - 1))
+                starts = rng.integers(0, max(1, len(raw) - SPAN + 1), n).tolist()
+                rows.append((lang, rank, [raw[a : a + SPAN] for a in starts]))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.binary()))], names=["lang", "rank", "crops"])
+
+    return run
+
+
+def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: int = PER_LANG, crops: int = CROPS) -> DataFrame:
+    """(lang, rank, crops): at most per_lang texts of each language that are not held out, least hash of id and text first.
+
+    crops: as many seeded pieces of SPAN bytes from anywhere in the whole text. Equal rows share a hash and count once.
+    """
     rows = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.rlike(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"\p{L}")))
-    at = F.pmod(rank, F.greatest(F.lit(1), F.length(text_col) - piece)).cast("int") + 1
-    rows = rows.select(F.col(lang_col).cast("string").alias("lang"), rank.alias("rank"), F.substring(F.col(text_col), at, F.lit(piece)).alias("text"))
-    return rows.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("rank"))).where(F.col("nth") <= per_lang).select("lang", "text", "rank")
+    rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.lit(17), F.col(id_col), F.col(text_col)).alias("rank"), F.col(text_col).cast("binary").alias("text"))
+    ids = least_hashes(rows.groupBy("lang", "rank").agg(F.lit(1).alias("one")), "lang", "rank", per_lang).select("lang", "rank")
+    chosen = rows.join(F.broadcast(ids), ["lang", "rank"])  # at most per_lang rows a language
+    return chosen.mapInArrow(_crops(crops), "lang string, rank long, crops array<binary>").dropDuplicates(["lang", "rank"])
 
 
-def predict_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG, piece: int = PIECE, seed: int = 0) -> DataFrame:
+def predict_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG, crops: int = CROPS, seed: int = 0) -> DataFrame:
     """(doc_id, held_out, lang_pred, score): one row for each row of docs.
 
     Learned only from rows that are not held out (crc32 of the id as text, modulo 4, is 2; null ids are held out)
     and have a language and a letter. Null texts and texts without a letter are `und` with score 0, and so is
-    everything if there is no row to learn from. With one language learned, all else is that language.
+    everything if there is no row to learn from. With one language learned, all else is that language. Repeated rows
+    get equal answers, however the table is partitioned; very long texts are read whole, window by window. An empty
+    table gives no rows. Columns other than the three are not read.
     """
-    rows = sorted(training_rows(docs, id_col, text_col, lang_col, per_lang, piece).collect(), key=lambda r: (r.lang, r.rank, r.text))
+    rows = sorted(training_rows(docs, id_col, text_col, lang_col, per_lang, crops).collect(), key=lambda r: (r.lang, r.rank))
     langs = sorted({r.lang for r in rows})
-    net = train([r.text.encode("utf-8", "replace") for r in rows], np.array([langs.index(r.lang) for r in rows]), len(langs), seed=seed) if langs else None
+    net = train([[bytes(c) for c in r.crops] for r in rows], np.array([langs.index(r.lang) for r in rows]), len(langs), seed=seed) if langs else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

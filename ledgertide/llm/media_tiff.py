@@ -23,6 +23,7 @@ WIDTH, LENGTH, BITS, COMPRESSION, PHOTOMETRIC, STRIP_AT, SAMPLES, ROWS_PER_STRIP
 TILE_WIDTH, TILE_LENGTH, TILE_AT, TILE_BYTES = 322, 323, 324, 325
 NONE, LZW, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946
 _SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
+MOST_SAMPLES = 1 << 28
 _FORMATS = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i"}
 
 
@@ -45,9 +46,10 @@ class Page:
 # --- codecs -------------------------------------------------------------------------------------------------
 
 
-def packbits_decode(data: bytes) -> bytes:
+def packbits_decode(data: bytes, most: int = 1 << 62) -> bytes:
+    """The unpacked bytes; reading ends once there are `most` of them."""
     out, i, n = bytearray(), 0, len(data)
-    while i < n:
+    while i < n and len(out) < most:
         head = data[i]
         i += 1
         if head < 128:
@@ -80,15 +82,16 @@ def packbits_encode(data: bytes) -> bytes:
     return bytes(out)
 
 
-def lzw_decode(data: bytes) -> bytes:
-    """Codes of 9 to 12 bits, most significant bit first; 256 clears the table, 257 ends."""
+def lzw_decode(data: bytes, most: int = 1 << 62) -> bytes:
+    """Codes of 9 to 12 bits, most significant bit first; 256 clears the table, 257 ends, and so do `most` bytes."""
     out: list[bytes] = []
+    made = 0
     base = [bytes([k]) for k in range(256)] + [b"", b""]
     words, width, old = list(base), 9, None
     store, have, at, n = 0, 0, 0, len(data)
     while True:
         while have < width:
-            if at >= n:
+            if at >= n or made >= most:
                 return b"".join(out)
             store = (store << 8 | data[at]) & 0xFFFFFF
             have += 8
@@ -115,6 +118,7 @@ def lzw_decode(data: bytes) -> bytes:
             if len(words) >= (1 << width) - 1 and width < 12:
                 width += 1
         out.append(word)
+        made += len(word)
         old = word
 
 
@@ -161,15 +165,16 @@ def lzw_encode(data: bytes) -> bytes:
     return bytes(out)
 
 
-def _unpack(data: bytes, compression: int) -> bytes:
+def _unpack(data: bytes, compression: int, most: int) -> bytes:
+    """The first `most` bytes of a strip or tile; never many more are made, whatever the data says."""
     if compression == NONE:
         return data
     if compression == LZW:
-        return lzw_decode(data)
+        return lzw_decode(data, most)
     if compression in (DEFLATE, OLD_DEFLATE):
-        return zlib.decompress(data)
+        return zlib.decompressobj().decompress(data, most)
     if compression == PACKBITS:
-        return packbits_decode(data)
+        return packbits_decode(data, most)
     raise BadTiff(f"compression {compression}")
 
 
@@ -200,43 +205,52 @@ def _directory(data: bytes, at: int, order: str) -> tuple[dict[int, tuple], int]
     return tags, following
 
 
-def read_pages(data: bytes) -> Iterator[Page]:
-    """The pages of a TIFF file, in the order of its chain of directories; BadTiff for what isn't one."""
+def read_pages(data: bytes, most_samples: int = MOST_SAMPLES) -> Iterator[Page]:
+    """The pages of a TIFF file, in the order of its chain of directories; BadTiff for what isn't one.
+
+    A page that states more than most_samples samples is refused before memory is taken for it.
+    """
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
     if order is None or len(data) < 8 or struct.unpack_from(order + "H", data, 2)[0] != 42:
         raise BadTiff("no TIFF header")
     (at,) = struct.unpack_from(order + "I", data, 4)
+    if not at:
+        raise BadTiff("no directory")
     seen: set[int] = set()
     while at:
         if at in seen:
             raise BadTiff("directories form a loop")
         seen.add(at)
         tags, following = _directory(data, at, order)
-        yield _page(data, tags, len(seen) - 1)
+        yield _page(data, tags, len(seen) - 1, most_samples)
         at = following
 
 
-def _page(data: bytes, tags: dict[int, tuple], index: int) -> Page:
+def _page(data: bytes, tags: dict[int, tuple], index: int, most_samples: int) -> Page:
     one = lambda tag, default=None: tags[tag][0] if tags.get(tag) else default
     width, height, samples = one(WIDTH), one(LENGTH), one(SAMPLES, 1)
-    if not width or not height or any(b != 8 for b in tags.get(BITS, (1,))):
+    if not width or not height or width < 0 or height < 0 or samples < 1 or any(b != 8 for b in tags.get(BITS, (1,))):
         raise BadTiff("only 8-bit samples are read")
+    if width * height * samples > most_samples:
+        raise BadTiff("a page of too many samples")
     compression, predictor, planar = one(COMPRESSION, NONE), one(PREDICTOR, 1), one(PLANAR, 1)
     if predictor not in (1, 2):
         raise BadTiff(f"predictor {predictor}")
     tiled = TILE_AT in tags
-    part_w, part_h = (one(TILE_WIDTH), one(TILE_LENGTH)) if tiled else (width, min(one(ROWS_PER_STRIP, height), height))
-    starts, sizes = (tags[TILE_AT], tags[TILE_BYTES]) if tiled else (tags[STRIP_AT], tags[STRIP_BYTES])
+    part_w, part_h = (one(TILE_WIDTH, 0), one(TILE_LENGTH, 0)) if tiled else (width, min(one(ROWS_PER_STRIP, height), height))
+    starts, sizes = (tags.get(TILE_AT, ()), tags.get(TILE_BYTES, ())) if tiled else (tags.get(STRIP_AT, ()), tags.get(STRIP_BYTES, ()))
+    if part_w < 1 or part_h < 1 or part_w * part_h * samples > most_samples:
+        raise BadTiff("strips or tiles of no or too many samples")
     across, down = -(-width // part_w), -(-height // part_h)
     planes, deep = (samples, 1) if planar == 2 else (1, samples)
-    if len(starts) < planes * across * down:
+    if min(len(starts), len(sizes)) < planes * across * down:
         raise BadTiff("too few strips or tiles")
     pixels = np.zeros((height, width, samples), np.uint8)
     for k in range(planes * across * down):
         plane, place = divmod(k, across * down)
         y, x = (v * s for v, s in zip(divmod(place, across), (part_h, part_w), strict=True))
         rows = part_h if tiled else min(part_h, height - y)
-        raw = _unpack(data[starts[k] : starts[k] + sizes[k]], compression)
+        raw = _unpack(data[starts[k] : starts[k] + sizes[k]], compression, rows * part_w * deep)
         if len(raw) < rows * part_w * deep:
             raise BadTiff("a strip or tile is too short")
         block = np.frombuffer(raw, np.uint8, rows * part_w * deep).reshape(rows, part_w, deep)
@@ -296,7 +310,8 @@ def write_pages(pages: list[np.ndarray], compression: int = DEFLATE, predictor:
 def tiff_pages(media: DataFrame, id_col: str, media_col: str) -> DataFrame:
     """(id, page, width, height, samples, compression, predictor, tiled, pixels, error): one row per page.
 
-    A null or broken file gives one row with a null page and the reason in error; pages before a fault are kept.
+    A null, empty or broken file gives one row with a null page and the reason in error; pages before a fault are kept,
+    and no file ends the job. Repeated ids are separate files. An empty table gives no rows. Other columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,7 +323,7 @@ def tiff_pages(media: DataFrame, id_col: str, media_col: str) -> DataFrame:
                 try:
                     for p in read_pages(value.as_py() or b""):
                         rows.append((key, p.index, p.width, p.height, p.samples, p.compression, p.predictor, p.tiled, p.pixels.tobytes(), None))
-                except (BadTiff, zlib.error, struct.error, KeyError) as e:
+                except (ValueError, zlib.error, struct.error, LookupError, TypeError, ArithmeticError, MemoryError) as e:
                     rows.append((key, *[None] * 8, f"{type(e).__name__}: {e}"))
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[k]) for k in range(10)], names=names)
 
@@ -326,20 +341,21 @@ def payload_of(text: bytes) -> bytes:
 def stored_form(payload: bytes) -> bytes:
     """A payload as TIFF: rows of 64 samples, up to 4096 rows a page. The layout follows from the bytes alone.
 
-    Most payloads are deflated; one in 32 each is LZW, PackBits, uncompressed or tiled, so that all are exercised.
+    One payload in five each is LZW, PackBits, uncompressed, deflated in strips and deflated in tiles.
     """
     pick = zlib.crc32(payload)
-    kind = {0: LZW, 1: PACKBITS, 2: NONE}.get(pick % 32, DEFLATE)
+    kind = (LZW, PACKBITS, NONE, DEFLATE, DEFLATE)[pick % 5]
     pixels = np.frombuffer(payload, np.uint8).reshape(-1, SIDE)
     pages = [pixels[k : k + PAGE_ROWS] for k in range(0, len(pixels), PAGE_ROWS)]
-    return write_pages(pages, kind, 2 if pick >> 5 & 1 and kind in (LZW, DEFLATE) else 1, 64 if pick % 32 == 3 else 0, 512, "<" if pick >> 6 & 1 else ">")
+    return write_pages(pages, kind, 2 if pick >> 5 & 1 and kind in (LZW, DEFLATE) else 1, 64 if pick % 5 == 4 else 0, 512, "<" if pick >> 6 & 1 else ">")
 
 
 def media_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each text stored as TIFF and read back: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes,
     media_sha256, feature (pages, layout, mean sample and number of distinct samples of what was read).
 
-    Null texts are empty: 64 zero bytes. Equal texts give equal values; repeated ids are separate rows.
+    Null texts are empty: 64 zero bytes. Equal texts give equal values; repeated ids are separate rows. Very long texts
+    are stored whole, page after page. An empty table gives no rows. Columns other than the two are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,18 +1,20 @@
 """Mixing sources to target weights: subset-sum budget fitting over exact length counts.
 
-1. Documents are counted by source, exact size and seeded slot (64 slots by hash of the id); texts are not moved.
+1. Documents are counted by source, exact size and seeded slot (256 slots by hash of the id); texts are not moved.
 2. Shares follow from the source totals alone: weights 1, 2, 3, repeating, limits of 3 times a source's size, what is
    over the limit shared out again by weight.
 3. A source repeats all its documents floor(target / size) times. For the rest of its budget, nearly the same
-   fraction of every length is taken, then lengths from the longest down, one document each. What is still left is less than
-   `room` words more than any length that has documents left: if no two of these fit, the longest that fits is taken, else
-   a bounded knapsack (of less than 2 * `room` words) fits them.
+   fraction of every length is taken, then lengths from the longest down, one document each, until less than four of
+   the longest is left (4096 words at least). A bounded knapsack over all lengths that have documents left fits that as
+   nearly as any choice can, from either side.
 4. Documents are chosen by length count in the order of their seeded hash: whole slots first, then the first ones of
    the slot in which the count ends. So no task ever orders more than a slot of one length of one source.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -20,41 +22,64 @@ from pyspark.sql import functions as F
 
 from ledgertide.llm.common import WORD_PATTERN, written
 
-SLOTS, LIMIT, ROOM = 64, 3, 4096
+SLOTS, LIMIT, ROOM = 256, 3, 4096
+FEW, FEW_WORDS = 64, 1 << 27  # parts and words of a knapsack over all documents (16 MB of bits, nine of these kept)
 WEIGHTS = (1, 2, 3)
 
 
-def knapsack(sizes: list[int], counts: list[int], budget: int) -> list[int]:
-    """How many of each size to take, so that the sum is as large as possible without exceeding budget.
+def knapsack(sizes: list[int], counts: list[int], target: int) -> list[int]:
+    """How many of each size to take, so that the sum comes nearest to target, from below if two are as near.
 
-    Bounded subset sum: counts are split into powers of two, reachable sums are the bits of one integer, and the
-    choice is read back from the sums reachable before each part. budget + 1 bits for each part.
+    Bounded subset sum: sizes are divided by what divides them all, counts split into powers of two, and reachable sums
+    are the bits of one integer, as far as one largest size beyond the target. The choice is read back from the sums
+    reachable before each part; of these only every so many are kept and those between are made again.
     """
     taken = [0] * len(sizes)
-    if budget <= 0:
+    unit = math.gcd(*[size for size, count in zip(sizes, counts, strict=True) if count]) if sizes else 0
+    if target <= 0 or not unit:
         return taken
-    mask, reach = (1 << budget + 1) - 1, 1
-    steps: list[tuple[int, int, int]] = []
+    goal, rest = divmod(target, unit)
+    most = goal + max(sizes) // unit
+    parts: list[tuple[int, int]] = []
     for k, (size, count) in enumerate(zip(sizes, counts, strict=True)):
-        left, part = min(count, budget // size if size else 0), 1
+        left, part = min(count, most * unit // size if size else 0), 1
         while left > 0:
             part = min(part, left)
-            steps.append((k, part, reach))
-            reach |= reach << part * size & mask
+            parts.append((k, part))
             left -= part
             part *= 2
-        if reach >> budget & 1:
+    step = math.isqrt(len(parts)) + 1
+    mask, reach, kept, used = (1 << most + 1) - 1, 1, [], 0
+    add = lambda bits, k, part: bits | bits << part * (sizes[k] // unit) & mask
+    for used, (k, part) in enumerate(parts, 1):
+        if (used - 1) % step == 0:
+            kept.append(reach)
+        reach = add(reach, k, part)
+        if not rest and reach >> goal & 1:
             break
-    at = reach.bit_length() - 1
-    for k, part, before in reversed(steps):
-        if not before >> at & 1:
-            at -= part * sizes[k]
-            taken[k] += part
+    below = (reach & (1 << goal + 1) - 1).bit_length() - 1
+    above = reach >> goal + 1
+    above = goal + (above & -above).bit_length() if above else None
+    at = below if above is None or target - below * unit <= above * unit - target else above
+    for block in range((used - 1) // step, -1, -1):
+        before = [kept[block]]
+        own = parts[block * step : min((block + 1) * step, used)]
+        for k, part in own[:-1]:
+            before.append(add(before[-1], k, part))
+        for (k, part), bits in zip(reversed(own), reversed(before), strict=True):
+            if not bits >> at & 1:
+                at -= part * (sizes[k] // unit)
+                taken[k] += part
     return taken
 
 
 def fit_counts(sizes: np.ndarray, counts: np.ndarray, target: float, limit: int = LIMIT, room: int = ROOM) -> tuple[int, np.ndarray]:
-    """(whole repeats of every document, further documents of each size) whose words come nearest to target from below."""
+    """(whole repeats of every document, further documents of each size) whose words come near target, from either side.
+
+    The same fraction of each length goes first, then the longest, until less than four of the largest size is left
+    (`room` words at least), which a knapsack over all that remains fits. With few documents it fits the whole target,
+    so that the sum is the nearest of all.
+    """
     total = int((sizes * counts).sum())
     if total == 0:
         return 1, np.zeros(len(sizes), np.int64)
@@ -64,20 +89,19 @@ def fit_counts(sizes: np.ndarray, counts: np.ndarray, target: float, limit: int
     if whole == limit or rest <= 0:
         return whole, extra
     full = sizes > 0
-    extra[full] = np.maximum(np.floor(counts[full] * (rest / total)).astype(np.int64) - 2, 0)
+    few = sum(int(c).bit_length() for c in counts[full]) <= FEW and rest <= FEW_WORDS
+    span = rest + 1 if few else max(room, 4 * int(sizes.max()))
+    extra[full] = np.maximum(np.floor(counts[full] * (rest / total)).astype(np.int64) - 2, 0) if not few else 0
     left = rest - int((extra * sizes).sum())
     for most in (1, 1, 1, total):  # one document of each length at a time, then as many as are needed
         for k in np.argsort(-sizes, kind="stable").tolist():
-            if sizes[k] and left - sizes[k] >= room and extra[k] < counts[k]:
-                take = int(min(counts[k] - extra[k], (left - room) // sizes[k], most))
+            if sizes[k] and left - sizes[k] >= span and extra[k] < counts[k]:
+                take = int(min(counts[k] - extra[k], (left - span) // sizes[k], most))
                 extra[k] += take
                 left -= take * int(sizes[k])
-    usable = np.flatnonzero(full & (extra < counts) & (sizes <= left))[::-1]
-    if len(usable) and 2 * int(sizes[usable].min()) > left:
-        extra[usable[sizes[usable].argmax()]] += 1
-    elif left > 0 and len(usable):
-        picked = knapsack(sizes[usable].tolist(), (counts - extra)[usable].tolist(), left)
-        extra[usable] += np.array(picked, np.int64)
+    usable = np.flatnonzero(full & (extra < counts))
+    picked = knapsack(sizes[usable].tolist(), (counts - extra)[usable].tolist(), left)
+    extra[usable] += np.array(picked, np.int64)
     return whole, extra
 
 
@@ -104,7 +128,8 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
     size is the number of words of the text (null: 0). taken = copies * size words; copies is 0 to 3. Null sources
     are one source, the last. Rows without words are copied once for each whole repeat, at least once if their
     source has no words at all. Equal ids in one source and size are taken in an order that reruns may swap between
-    them, which does not change the rows of the result. An empty table gives no rows.
+    them, which does not change the rows of the result. Very long texts are counted whole and are not moved. An empty table
+    gives no rows. Columns other than the three are not read, whatever their names.
     """
     sized = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.regexp_count(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(WORD_PATTERN)).cast("long").alias("size"))
     sized = sized.withColumn("rank", F.xxhash64(F.lit(seed), "doc_id")).withColumn("slot", F.pmod("rank", F.lit(slots)).cast("int"))

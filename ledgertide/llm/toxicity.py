@@ -9,7 +9,7 @@
 4. Under the clean class segment scores have an exponential tail (Karlin and Altschul): lambda solves
    E[exp(lambda * s)] = 1, K follows from the segments seen in clean texts. A passage's evidence is
    lambda * S - ln(K * tokens); a document's is its strongest passage's and the number of significant ones.
-5. Rows kept out of the counts turn evidence into a probability by logistic regression.
+5. Texts scored by the counts of other texts turn evidence into a probability by logistic regression.
 """
 
 from __future__ import annotations
@@ -19,14 +19,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgertide.llm.common import held_out, range_hashes, spans_of, text_buffer
+from ledgertide.llm.common import forget, held_out, least_hashes, range_hashes, spans_of, text_buffer, written
 
-CODES = 1 << 18
+CODES, PARTS = 1 << 18, 4
 PER_CLASS = 12_000
-PRIOR, SURE, LEAST, DRIFT = 0.1, 3.0, 4, 0.05
+PRIOR, SURE, LEAST, DRIFT = 0.2, 3.0, 4, 0.05
+SHARE = 0.1  # of toxic texts, where no labels say otherwise
+MOST = 30.0  # evidence beyond this (in nats) makes no further difference
 CHUNK = 1 << 20
 _CHAR = np.zeros(256, bool)
 _CHAR[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -71,16 +73,20 @@ class ToxicModel:
     score: np.ndarray  # by code, float32
     rate: float  # lambda
     scale: float  # K
-    weights: tuple[float, float, float]  # bias, evidence, significant passages
+    weights: tuple[float, ...]  # of features()
 
     def evidence(self, segments: list[tuple[int, int, float]], n: int) -> tuple[float, int]:
         """(evidence of the strongest passage, number of passages with evidence over 0); 0 stands for none."""
         own = [self.rate * s - np.log(self.scale * max(n, 1)) for _, _, s in segments]
-        return (float(np.clip(max(own, default=0.0), 0.0, 30.0)), sum(e > 0 for e in own))
+        return (float(np.clip(max(own, default=0.0), 0.0, MOST)), sum(e > 0 for e in own))
 
     def probability(self, evidence: np.ndarray, passages: np.ndarray) -> np.ndarray:
-        a, b, c = self.weights
-        return 1 / (1 + np.exp(-(a + b * evidence + c * np.log1p(passages))))
+        return 1 / (1 + np.exp(-features(evidence, passages) @ np.array(self.weights)))
+
+
+def features(evidence: np.ndarray, passages: np.ndarray) -> np.ndarray:
+    """What the regression reads: a constant, evidence, the logarithm of passages and whether there are several."""
+    return np.stack((np.ones(len(evidence)), evidence, np.log1p(passages), passages > 1), 1)
 
 
 def code_scores(toxic: np.ndarray, clean: np.ndarray) -> np.ndarray:
@@ -123,43 +129,49 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, per_class: int) -> DataFrame:
-    """(toxic, part, text): at most per_class rows of each label that are not held out, least hash first.
+    """(toxic, part, text): the texts of at most per_class ids of each label that are not held out, least hash first.
 
-    An id with several labels has the largest. The sample's ids are at most 2 * per_class rows and are broadcast, so
-    texts are not moved. part is 3 for the quarter that calibrates; equal texts fall in the same part.
+    An id with several labels, and a text that several of these ids have, has the largest and counts once; so the
+    sample does not depend on how rows are laid. Its ids are at most 2 * per_class and are broadcast; only its own texts
+    are moved. part: 0 to 3, by the text.
     """
     ids = labels.where(F.col(label_col).isin(0, 1) & ~held_out(id_col)).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.max(label_col).cast("int").alias("toxic"))
-    ids = ids.withColumn("nth", F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64(F.lit(5), "doc_id")))).where(F.col("nth") <= per_class).select("doc_id", "toxic")
+    ids = least_hashes(ids.withColumn("rank", F.xxhash64(F.lit(5), "doc_id")), "toxic", "rank", per_class).select("doc_id", "toxic")
     rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.join(F.broadcast(ids), "doc_id").select("toxic", F.pmod(F.xxhash64("text"), F.lit(4)).cast("int").alias("part"), "text")
+    rows = rows.join(F.broadcast(ids), "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic"))
+    return rows.select("toxic", F.pmod(F.xxhash64("text"), F.lit(PARTS)).cast("int").alias("part"), "text")
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents by code and class, and the tokens of clean documents; copies within a task count once."""
-    docs, words, seen = np.zeros((2, CODES), np.int64), np.zeros(CODES, np.int64), set()
+    """Documents by part, code and class, and the tokens of clean documents."""
+    docs, words = np.zeros((PARTS, 2, CODES), np.int32), np.zeros((PARTS, CODES), np.int64)
     for batch in batches:
         data, offsets = text_buffer(batch.column(2))
-        label = batch.column(0).to_numpy()
+        label, part = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         for i, j in spans_of(offsets, CHUNK):
             codes, _, _, at = tokens(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             for k in range(j - i):
-                own = codes[at[k] : at[k + 1]]
-                if (name := hash(own.tobytes())) in seen:
-                    continue
-                seen.add(name)
-                docs[label[i + k], np.unique(own)] += 1
+                own, n = np.unique(codes[at[k] : at[k + 1]], return_counts=True)
+                docs[part[i + k], label[i + k], own] += 1
                 if not label[i + k]:
-                    words += np.bincount(own, minlength=CODES)
-    code = np.flatnonzero(docs.any(0) | (words > 0))
-    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (code, docs[1, code], docs[0, code], words[code])], names=["code", "toxic", "clean", "words"])
+                    words[part[i + k], own] += n
+    part, code = np.nonzero(docs.any(1))
+    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (part, code, docs[part, 1, code].astype(np.int64), docs[part, 0, code].astype(np.int64), words[part, code])], names=["part", "code", "toxic", "clean", "words"])
+
+
+def _rated(counts: np.ndarray) -> tuple[np.ndarray, float]:
+    """(scores of the codes, lambda) from counts of toxic and clean documents and of tokens of clean ones, by code."""
+    toxic, clean, words = counts
+    score, words = code_scores(toxic, clean), words + 1e-3
+    return score, tail_rate(score.astype(float), words / words.sum()) if (score > 0).any() else 1.0
 
 
-def _passages(score, batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[int, list[tuple[int, int, float]], int, np.ndarray, np.ndarray, pa.RecordBatch]]:
+def _passages(score, batches: Iterator[pa.RecordBatch], column: int, part_column: int | None = None) -> Iterator[tuple[int, list[tuple[int, int, float]], int, np.ndarray, np.ndarray, pa.RecordBatch]]:
     for batch in batches:
         data, offsets = text_buffer(batch.column(column))
         for i, j in spans_of(offsets, CHUNK):
             codes, start, end, at = tokens(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            value = score[codes]
+            value = score[codes] if part_column is None else score[np.repeat(batch.column(part_column).to_numpy()[i:j], np.diff(at)), codes]
             hot = np.concatenate(([0], np.cumsum(value > 0)))
             for k in range(j - i):
                 a, b = at[k], at[k + 1]
@@ -169,52 +181,56 @@ def _passages(score, batches: Iterator[pa.RecordBatch], column: int) -> Iterator
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS) -> ToxicModel:
-    """The model. Without rows that calibrate it scores everything alike, at the share of toxic labels seen, smoothed by
-    ten rows with a share of PRIOR: without any label nothing is toxic.
+    """The model: scores from the whole sample, calibrated crosswise.
 
-    To the driver come 2^18 counts and one row of figures for each document that calibrates, both bounded.
+    Each of four parts is scored by the counts of the other three; these figures give K and the logistic weights.
+    Without any labelled text everything scores alike, at a share of SHARE: nothing is toxic.
+
+    To the driver come 4 * 2^18 counts and one row of three figures for each text of the sample, both bounded. Equal
+    however the tables are partitioned.
     """
-    sample = labelled_sample(docs, labels, id_col, text_col, label_col, per_class)
-    toxic, clean, words = (np.zeros(CODES) for _ in range(3))
-    counted = sample.where("part <> 3").mapInArrow(_counts, "code long, toxic long, clean long, words long").groupBy("code").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.sum("words").alias("words")).toPandas()
-    for x, name in ((toxic, "toxic"), (clean, "clean"), (words, "words")):
-        x[counted["code"].to_numpy(np.int64)] = counted[name].to_numpy(float)
-    score = code_scores(toxic, clean)
-    share = (words + 1e-3) / (words + 1e-3).sum()
-    rate = tail_rate(score.astype(float), share) if (score > 0).any() else 1.0
-    sent = docs.sparkSession.sparkContext.broadcast(score)
+    sample = written(labelled_sample(docs, labels, id_col, text_col, label_col, per_class), "sample")
+    counted = sample.mapInArrow(_counts, "part long, code long, toxic long, clean long, words long").groupBy("part", "code").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.sum("words").alias("words")).toPandas()
+    counts = np.zeros((PARTS, 3, CODES))
+    for k, name in enumerate(("toxic", "clean", "words")):
+        counts[counted["part"].to_numpy(np.int64), k, counted["code"].to_numpy(np.int64)] = counted[name].to_numpy(float)
+    score, rate = zip(*[_rated(counts.sum(0) - own) for own in (*counts, 0)], strict=True)
+    context = docs.sparkSession.sparkContext
+    sent = context.broadcast(np.stack(score[:PARTS]))
+    level = np.log(20.0) / np.array(rate)
+
+    def high_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = above = 0
+        for k, found, n, _, _, batch in _passages(sent.value, batches, 2, 1):
+            seen, above = seen + n, above + sum(s >= level[batch.column(1)[k].as_py()] for _, _, s in found)
+        yield pa.RecordBatch.from_pydict({"seen": [int(seen)], "above": [int(above)]})
+
+    tail = sample.where("toxic = 0").mapInArrow(high_segments, "seen long, above long").agg(F.sum("seen").alias("seen"), F.sum("above").alias("above")).first()
+    scale = max(tail.above or 0, 1) * 20.0 / max(tail.seen or 0, 1)
+    model = ToxicModel(score[PARTS], rate[PARTS], scale, (0.0,) * 4)
+    rates = [ToxicModel(score[PARTS][:0], r, scale, (0.0,) * 4) for r in rate]
 
     def figures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, seen = [], set()
-        for k, found, n, _, _, batch in _passages(sent.value, batches, 2):
-            text = batch.column(2)[k].as_py()
-            if hash(text) in seen:
-                continue
-            seen.add(hash(text))
-            rows.append((batch.column(0)[k].as_py(), n, sorted((s for _, _, s in found), reverse=True)[:64]))
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.float64()))], names=["toxic", "n", "segments"])
-
-    held = sample.where("part = 3").mapInArrow(figures, "toxic int, n long, segments array<double>").collect()
-    seen = sum(r.n for r in held if not r.toxic)
-    level = np.log(20.0) / rate
-    above = sum(s >= level for r in held if not r.toxic for s in r.segments)
-    model = ToxicModel(score, rate, max(above, 1) * 20.0 / max(seen, 1), (0.0, 0.0, 0.0))
-    if held:
-        features = np.array([(1.0, *model.evidence([(0, 0, s) for s in r.segments], r.n)) for r in held])
-        features[:, 2] = np.log1p(features[:, 2])
-        features[:, 1] = np.minimum(features[:, 1], 30.0)
-        model.weights = tuple(float(w) for w in logistic(features, np.array([float(r.toxic) for r in held])))
-    else:
-        labelled = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic")).first()
-        odds = (labelled.toxic + 10 * PRIOR) / (labelled.n - labelled.toxic + 10 * (1 - PRIOR))
-        model.weights = (float(np.log(odds)), 0.0, 0.0)
+        rows = [(batch.column(0)[k].as_py(), *rates[batch.column(1)[k].as_py()].evidence(found, n)) for k, found, n, _, _, batch in _passages(sent.value, batches, 2, 1)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.float64(), pa.int64()))], names=["toxic", "evidence", "passages"])
+
+    held = sorted(tuple(r) for r in sample.mapInArrow(figures, "toxic int, evidence double, passages long").collect())
+    if len({toxic for toxic, _, _ in held}) == 2:
+        toxic, evidence, passages = (np.array(x, float) for x in zip(*held, strict=True))
+        model.weights = tuple(float(w) for w in logistic(features(evidence, passages), toxic))
+    else:  # one class or none: the share seen, smoothed by ten texts with a share of SHARE
+        toxic = sum(t for t, _, _ in held)
+        model.weights = (float(np.log((toxic + 10 * SHARE) / (len(held) - toxic + 10 * (1 - SHARE)))), 0.0, 0.0, 0.0)
+    forget(sample)
     return model
 
 
 def score_toxicity(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, passages: bool = False) -> DataFrame:
     """(doc_id, held_out, score, predicted, n_passages) and, if asked for, starts and ends of significant passages in bytes.
 
-    One row for each row of docs. Null and empty texts have no passage and get the score of that.
+    One row for each row of docs. Null and empty texts have no passage and get the score of that; a null id counts as
+    held out. Repeated rows get equal scores, very long texts are scanned whole, an empty table gives no rows, and
+    columns other than the two are not read.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     lists = ", starts array<long>, ends array<long>" if passages else ""
@@ -245,7 +261,10 @@ def score_toxicity(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", t
 
 
 def without_toxic(docs: DataFrame, model: ToxicModel, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """docs without the rows that score_toxicity would predict 1 for; all columns stay as they are, nothing is moved."""
+    """docs without the rows that score_toxicity would predict 1 for; all columns stay as they are, nothing is moved.
+
+    Null and empty texts are scored like texts without a passage.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     column = docs.columns.index(text_col)
 

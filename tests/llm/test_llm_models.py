@@ -79,9 +79,8 @@ def test_toxicity_without_calibration(spark, odd, odd_rows):
     assert tox.score_toxicity(odd, model).where("predicted = 1").count() == 0
     assert tox.without_toxic(odd, model).count() == len(odd_rows)
     free = [k for k in range(200) if zlib.crc32(str(k).encode()) % 4 != 2]
-    part = spark.createDataFrame([(k, f"text number {k}") for k in free], "doc_id long, text string").selectExpr("*", "pmod(xxhash64(text), 4) AS part")
-    rows = part.where("part <> 3").select("doc_id", "text")  # none calibrates
-    for toxic, kept in ((0, True), (1, False)):
+    rows = spark.createDataFrame([(k, f"text number {k}") for k in free], "doc_id long, text string")
+    for toxic, kept in ((0, True), (1, False)):  # one class only
         some = tox.fit_toxicity(rows, rows.selectExpr("doc_id", f"{toxic} AS toxic"))
         assert (tox.without_toxic(odd, some).count() == len(odd_rows)) == kept
 
@@ -124,3 +123,100 @@ def test_pipeline_stages(spark, odd):
         assert stage(spark, docs, SF).columns == docs.columns, name
         assert stage(spark, odd, SF).count() > 0
     assert corpus_pipeline.mixing(spark, odd, SF).count() == odd.count()
+
+
+def test_toxicity_does_not_depend_on_layout(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    found = []
+    for n in (1, 16, 61):
+        model = tox.fit_toxicity(docs.repartition(n), labels.repartition(n))
+        found.append({r.doc_id: (r.score, r.predicted) for r in tox.score_toxicity(docs, model).collect()})
+    assert found[0] == found[1] == found[2]
+    assert {r.doc_id for r in tox.without_toxic(docs, model).collect()} == {k for k, (_, p) in found[0].items() if not p}
+
+
+def test_toxicity_score_against_plain_code(spark):
+    """The score of each text from its tokens' scores and the model's figures, without any shared code but the model."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = tox.fit_toxicity(docs, labels)
+    got = {r.doc_id: r.score for r in tox.score_toxicity(docs, model).collect()}
+    for r in docs.limit(60).collect():
+        raw = (r.text or "").encode()
+        codes = tox.tokens(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0]
+        own = [s - np.log(model.scale * max(len(codes), 1)) for s in (model.rate * model.score[codes][a:b].sum(dtype=float) for a, b in brute_fast(model.score[codes].astype(float)))]
+        strong = sum(e > 0 for e in own)
+        x = model.weights[0] + model.weights[1] * min(max([0.0, *own]), 30.0) + model.weights[2] * np.log1p(strong) + model.weights[3] * (strong > 1)
+        assert got[r.doc_id] == pytest.approx(1 / (1 + np.exp(-x)), abs=1e-6)
+
+
+def brute_fast(score):
+    """Maximal segments by the recursive definition, best segment by Kadane's scan."""
+    best, total, low, at, where = 1e-12, 0.0, 0.0, 0, None
+    for k, s in enumerate(score.tolist()):
+        if total <= low:
+            low, at = total, k
+        total += s
+        if total - low > best + 1e-12:
+            best, where = total - low, (at, k + 1)
+    if where is None:
+        return []
+    a, b = where
+    return [*brute_fast(score[:a]), where, *[(x + b, y + b) for x, y in brute_fast(score[b:])]]
+
+
+def test_least_hashes(spark):
+    from ledgertide.llm.common import least_hashes
+
+    rng = random.Random(4)
+    rows = [(g, rng.getrandbits(64) - 2**63) for g in "aab" for _ in range(300)] + [("c", 5), ("c", 5), ("c", 6)]
+    df = spark.createDataFrame(rows, "g string, h long")
+    for most in (1, 50, 1000):
+        got = sorted((r.g, r.h) for r in least_hashes(df.repartition(5), "g", "h", most).collect())
+        want = []
+        for g in "abc":
+            own = sorted((h for k, h in rows if k == g), key=lambda h: (h % 2**64 >> 44, h))
+            want += [(g, h) for h in own if sum((x % 2**64 >> 44, x) < (h % 2**64 >> 44, h) for x in own) < most]
+        assert got == sorted(want)
+
+
+def test_broken_tiffs(spark):
+    payload = tiff.payload_of(b"abc" * 100)
+    page = np.frombuffer(payload, np.uint8).reshape(-1, 64)
+    rng, files = random.Random(7), [b"", b"II*\0", b"MM\0*" + b"\xff" * 40]
+    for kind in (tiff.NONE, tiff.PACKBITS, tiff.DEFLATE, tiff.LZW):
+        for tile in (0, 16):
+            good = tiff.write_pages([page], kind, 1, tile, 3)
+            files += [good[:k] for k in rng.sample(range(len(good)), 12)]
+            for _ in range(60):
+                bad = bytearray(good)
+                for _ in range(rng.randint(1, 4)):
+                    bad[rng.randrange(len(bad))] = rng.choice([0, 1, 255, rng.randrange(256)])
+                files.append(bytes(bad))
+    for tag, value in ((tiff.ROWS_PER_STRIP, 0), (tiff.WIDTH, 2**31 - 1), (tiff.LENGTH, 2**31 - 1)):
+        bad = bytearray(tiff.write_pages([page], tiff.DEFLATE))
+        at = bad.index(tag.to_bytes(2, "little") + b"\4\0")
+        bad[at + 8 : at + 12] = value.to_bytes(4, "little")
+        files.append(bytes(bad))
+    rows = tiff.tiff_pages(spark.createDataFrame([(k, bytearray(f)) for k, f in enumerate(files)], "id long, media binary"), "id", "media").collect()
+    assert {r.id for r in rows} == set(range(len(files))) and all(r.error for r in rows if r.id in (0, 1, 2) or r.id >= len(files) - 3)
+
+
+def test_codec_vectors():
+    """Vectors that were not made by this writer."""
+    assert tiff.packbits_decode(bytes.fromhex("FEAA0280002AFDAA0380002A22F7AA")) == bytes.fromhex("AAAAAA80002AAAAAAAAA80002A22" + "AA" * 10)
+    codes = [256, 7, 258, 8, 8, 258, 6, 6, 257]  # the worked example of the format's description: 7 7 7 8 8 7 7 6 6
+    bits = "".join(f"{c:09b}" for c in codes)
+    packed = int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
+    assert tiff.lzw_decode(packed) == bytes([7, 7, 7, 8, 8, 7, 7, 6, 6]) == tiff.lzw_decode(tiff.lzw_encode(bytes([7, 7, 7, 8, 8, 7, 7, 6, 6])))
+
+
+def test_every_layout_is_used(spark):
+    got = tiff.media_digests(spark.read.parquet(f"{SF}/documents.parquet")).toPandas()
+    layouts = got.feature.str.extract(r"compression=(\d+);predictor=(\d);tiled=(\d)").value_counts(normalize=True)
+    assert len(layouts) == 8 and layouts.min() > 0.05
+    texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    for r in got.itertuples():
+        media = tiff.stored_form(tiff.payload_of(texts[r.doc_id]))
+        assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
+        counts = np.bincount(np.frombuffer(tiff.payload_of(texts[r.doc_id]), np.uint8), minlength=256)
+        assert f"distinct={(counts > 0).sum()}" in r.feature

@@ -184,12 +184,18 @@ def _folded(maps: np.ndarray) -> np.ndarray:
 
 
 def closest_pairs(n: np.ndarray, maps: list[bytes], percent: int) -> list[tuple[int, int]]:
-    """For each row of a block the other one that differs least, if any overlap bound reaches the threshold."""
+    """For each row of a block the larger or equal one that differs least, if any overlap bound reaches the threshold.
+
+    A row for which only smaller ones do brings the one of these that differs least. Links upwards form trees, so that
+    a group of near copies becomes few components at once.
+    """
     rows, out = _Layers(n, maps), []
     first, last = np.searchsorted(n, -(-percent * n // 100)), np.searchsorted(n, 100 * n // percent, "right")
     for i in range(len(n)):  # the band of sizes that can link, but for the row itself
         best = None
-        for low, high in ((int(first[i]), i), (i + 1, int(last[i]))):
+        for low, high in ((i + 1, int(last[i])), (int(first[i]), i)):
+            if best:
+                break
             for found, share in rows.near(int(n[i]), rows.bitmap(i), low, high, percent):
                 if len(found) and (best is None or share.min() < best[0]):
                     best = share.min(), int(found[share.argmin()])

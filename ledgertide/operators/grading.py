@@ -51,7 +51,7 @@ def skill_intervals(losses: DataFrame, reference: str = "drift", draws: int = 10
     for (subset, target, tau), part in sums.groupby(["subset", "target", "tau"]):
         wide = part.pivot(index="state", columns="forecaster", values="loss").sort_index()
         for name in sorted(wide.columns.difference([reference])) if reference in wide else []:
-            low, high = est.cluster_bootstrap_skill(wide[name].to_numpy(), wide[reference].to_numpy(), draws, seed)
+            low, high = est.skill_bounds(wide[name].to_numpy(), wide[reference].to_numpy(), draws, seed)
             out.append((subset, name, target, float(tau), low, high))
     return out
 

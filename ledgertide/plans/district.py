@@ -184,7 +184,7 @@ def graded_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     error = {n: np.log(total(g)) - actual for n, g in found.items()}
     rows = []
     for n, e in error.items():
-        low, high = est.cluster_bootstrap_skill(np.abs(e), np.abs(error["drift"]), 5000, 0)
+        low, high = est.skill_bounds(np.abs(e), np.abs(error["drift"]), 5000, 0)
         rows.append((n, len(e), float(np.abs(e).mean()), float(e.mean()), float(np.abs(e - e.mean()).mean()), float(1 - np.abs(e).sum() / np.abs(error["drift"]).sum()), low, high))
     return spark.createDataFrame(rows, "forecaster string, states int, mae double, bias double, mae_bias_removed double, reduction double, low double, high double")
 

@@ -6,10 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgertide.functions.calendar import CALENDAR as C
 from ledgertide.operators import estimation as est
-from ledgertide.operators import matching, panel, records, survival
-from ledgertide.plans import core
+from ledgertide.operators import elasticity, matching, panel, survival
 from ledgertide.sources import lifecycle as src
 
 
@@ -19,32 +17,25 @@ def _panel(spark: SparkSession, sf_dir: str):
     return rows.groupBy("district", "y").agg(F.max_by("pending", "m").alias("p"), F.sum("instituted").alias("a"), F.sum("disposed").alias("d")).toPandas().sort_values(["district", "y"])
 
 
-def workload_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = core.histograms(spark, sf_dir).toPandas()
-    n, e = (np.bincount(rows.dur, rows[c], 98) for c in ("n", "events"))
-    life, tail = est.residual_life(n, e)
-    weight = [float(life[12 * a] / life[0]) if 12 * a < len(life) else float(1 / tail / life[0]) for a in panel.AGE_EDGES]
-    return spark.createDataFrame(list(enumerate(weight)), "bucket int, weight double")
-
-
 def skill_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = _panel(spark, sf_dir)
     x["growth"] = np.log(x.p.where(x.p > 0)).groupby(x.district).diff()
     x["naive"] = x.groupby("district").growth.shift(1)
     x = x.dropna()
     by = x.assign(a=(x.growth - x.growth.median()).abs(), b=(x.growth - x.naive).abs(), c=x.district // 1000).groupby("c")[["a", "b"]].sum()
-    low, high = est.cluster_bootstrap_skill(by.a.to_numpy(), by.b.to_numpy(), 2000, 0)
+    low, high = est.skill_bounds(by.a.to_numpy(), by.b.to_numpy(), 2000, 0)
     return spark.createDataFrame([(float(1 - by.a.sum() / by.b.sum()), low, high)], "skill double, low double, high double")
 
 
 def quantile_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of log pending on log filings, fitted on all years but the last and shifted on the residuals of that one."""
     x = _panel(spark, sf_dir)
     x = x[(x.p > 0) & (x.a > 0)]
-    design, y = np.c_[np.ones(len(x)), np.log(x.a)], np.log(x.p).to_numpy()
+    design, y, last = np.c_[np.ones(len(x)), np.log(x.a)], np.log(x.p).to_numpy(), (x.y == x.y.max()).to_numpy()
     rows = []
     for tau in (0.1, 0.5, 0.9):
-        line = est.quantile_line(design, y, tau)
-        rows.append((tau, float(line[0]), float(line[1]), est.conformal_shift(y - design @ line, tau)))
+        line = est.quantile_line(design[~last], y[~last], tau)
+        rows.append((tau, float(line[0]), float(line[1]), est.calibration_shift(y[last] - design[last] @ line, tau)))
     return spark.createDataFrame(rows, "tau double, constant double, slope double, shift double")
 
 
@@ -56,33 +47,17 @@ def covid_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = survival.time_to_decision(src.cube(spark, sf_dir), ["district"]).select("district", "pending_3y", "pending_3y_lo", "pending_3y_hi").where("pending_3y is not null").toPandas().sort_values("district")
-    low, high = est.rank_intervals(t.pending_3y.to_numpy(), ((t.pending_3y_hi - t.pending_3y_lo) / 3.92).to_numpy())
-    return spark.createDataFrame([(int(d), int(round(a)), int(round(b))) for d, a, b in zip(t.district, low, high, strict=True)], "district int, rank_lo int, rank_hi int")
+    t = survival.time_to_decision(src.cube(spark, sf_dir), ["district"]).where("pending_3y is not null")
+    t = t.select("district", "pending_3y", ((F.col("pending_3y_hi") - F.col("pending_3y_lo")) / 3.92).alias("error"))
+    return est.rank_bounds(t, "district", "pending_3y", "error").select("district", F.round("rank_lo").cast("int").alias("rank_lo"), F.round("rank_hi").cast("int").alias("rank_hi"))
 
 
 def fixed_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = panel.stock_flow(src.cube(spark, sf_dir)).where("pending > 0 and instituted > 0").select("district", "m", F.ln("pending").alias("y"), F.ln("instituted").alias("x"))
-    within = est.twoway_within(rows, ["y", "x"], "district", "m", 6)
-    return within.agg(F.round(F.sum(F.col("x") * F.col("y")) / F.sum(F.col("x") * F.col("x")), 6).alias("slope"), F.count("*").alias("n"))
-
-
-def least_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = panel.stock_flow(src.cube(spark, sf_dir)).where("pending > 0 and instituted > 0").select(F.ln("pending").alias("y"), F.ln("instituted").alias("a"), F.ln(F.col("disposed") + 1).alias("b"))
-    return spark.createDataFrame([(n, round(float(v), 6)) for n, v in zip(("constant", "a", "b"), est.ols(rows, "y", ["a", "b"]), strict=True)], "term string, value double")
-
-
-def bench(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = _panel(spark, sf_dir)
-    x = x[x.y == 2000]
-    more = est.bench_additions(np.full(len(x), 4.0), x.d.to_numpy(float) / 12, (x.a - x.d).clip(lower=0).to_numpy(float), 0.6)
-    return spark.createDataFrame([(int(d), float(m)) for d, m in zip(x.district, more, strict=True)], "district int, judges double")
-
-
-def splits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    months = [r.m for r in panel.stock_flow(src.cube(spark, sf_dir)).select("m").distinct().collect()]
-    parts = est.purged_split(months, 12, C.base_year * 12, 12)
-    return spark.createDataFrame([(n, int(m)) for n, part in zip(("train", "stop", "conformal", "validate"), parts, strict=True) for m in part], "part string, m int")
+    """Slope of log pending on log filings, district and month effects out; errors clustered by state. A row a district and month."""
+    rows = panel.stock_flow(src.cube(spark, sf_dir)).where("pending > 0 and instituted > 0").select("district", "m", F.ln("pending").alias("y"), F.ln("instituted").alias("x")).toPandas().sort_values(["district", "m"])
+    free = elasticity.within(rows[["y", "x"]].to_numpy(), rows.district.to_numpy(), rows.m.to_numpy())
+    fit = elasticity.clustered_fit(free[:, 0], free[:, 1:], free[:, 1:], rows.district.to_numpy() // 1000)
+    return spark.createDataFrame([(round(float(fit.slope[0]), 6), round(float(fit.error[0]), 6), len(rows))], "slope double, error double, n long")
 
 
 def names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,19 +66,10 @@ def names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.fuzzy_match(spelled, nation, "n_regionkey", "name", 0.8)
 
 
-def state_average(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cube = src.truncated_cube(spark, sf_dir)
-    rows = survival.spells(cube, records.collection_month(cube), records.completeness_month(cube))
-    t = survival.table_of(survival.curves(rows, ["state", "case_type"], min_cases=200), ["state", "case_type"])
-    mean = lambda c: F.round(F.sum(F.when(F.col(c).isNotNull(), F.col(c) * F.col("cases"))) / F.sum(F.when(F.col(c).isNotNull(), F.col("cases"))), 6).alias(c)
-    return t.groupBy("case_type").agg(*[mean(c) for c in ("pending_1y", "pending_3y", "pending_5y")])
-
-
 def queries() -> dict:
     return {
-        "K10_workload_weights": workload_weights, "M2_skill_interval": skill_interval, "M3_M4_quantile_lines": quantile_lines, "M6_purged_split": splits,
-        "M7_two_way_fixed_effects": fixed_effects, "M8_least_squares": least_squares, "M11_rank_intervals": ranked, "M13_years_bootstrap": covid_bootstrap,
-        "M21_bench_additions": bench, "J12_fuzzy_names": names, "Q2_state_average": state_average,
+        "M2_skill_interval": skill_interval, "M3_M4_quantile_lines": quantile_lines, "M7_two_way_fixed_effects": fixed_effects, "M11_rank_intervals": ranked, "M13_years_bootstrap": covid_bootstrap,
+        "J12_fuzzy_names": names,
     }
 
 

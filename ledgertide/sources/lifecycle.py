@@ -5,6 +5,7 @@ district = region * 1000 + nation, court = supplier, case type = part type. Line
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,15 +38,18 @@ def valid_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cube(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(state, district, f, d, case_type) -> n: the additive count cube that the other operators read."""
-    return valid_cases(spark, sf_dir).groupBy("state", "district", "f", "d", "case_type").agg(F.count("*").alias("n"))
+    """(state, district, f, d, case_type) -> n: the additive count cube that the other operators read.
+
+    Kept by the session, so that queries share one pass over the facts; a lost part is made again from them.
+    """
+    return valid_cases(spark, sf_dir).groupBy("state", "district", "f", "d", "case_type").agg(F.count("*").alias("n")).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def truncated_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cube as if the records of a district began 0, 6, 12, 18 or 24 months late: cases decided before are missing."""
     begun = F.lit(CALENDAR.first) + 6 * F.pmod(F.col("nation"), F.lit(5))
     rows = valid_cases(spark, sf_dir).where(F.col("d").isNull() | (F.col("d") >= begun))
-    return rows.groupBy("state", "district", "f", "d", "case_type").agg(F.count("*").alias("n"))
+    return rows.groupBy("state", "district", "f", "d", "case_type").agg(F.count("*").alias("n")).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def hearings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,10 +27,10 @@ def test_within_equals_dummies():
 
 def test_clustered_errors_by_hand():
     x, y, c = np.array([[1.0], [2.0], [3.0], [4.0]]), np.array([1.0, 2.5, 2.5, 4.5]), np.array([0, 0, 1, 1])
-    slopes, spread = ela.clustered(y, x, x, c)
+    fit = ela.clustered_fit(y, x, x, c)
     b = (x[:, 0] @ y) / 30
     u = x[:, 0] * (y - b * x[:, 0])
-    assert slopes[0] == pytest.approx(b) and spread[0, 0] == pytest.approx(2 * 3 / 3 * (u[:2].sum() ** 2 + u[2:].sum() ** 2) / 900)
+    assert fit.slope[0] == pytest.approx(b) and fit.error[0] ** 2 == pytest.approx(2 * 3 / 3 * (u[:2].sum() ** 2 + u[2:].sum() ** 2) / 900)
 
 
 def _bench_panel(strength, districts=60, months=40):
@@ -108,7 +108,7 @@ def test_the_queue_keeps_its_rules(spark):
     both = simulate(spark, 4, 7, s).where("district = 3").toPandas()
     assert both.f.tolist() == rows.f.tolist() and both.d.fillna(-1).astype(int).tolist() == rows.d.fillna(-1).astype(int).tolist()
     quick = done[done.kind == "bail"]
-    assert (quick.d - quick.f).median() < (done[done.kind == "trial"].d - done[done.kind == "trial"].f).median()
+    assert (quick.d - quick.f).median() < (done[done.kind == "appeal"].d - done[done.kind == "appeal"].f).median()
 
 
 def test_archive_members_are_streamed(spark, tmp_path):

@@ -56,20 +56,40 @@ def test_quantile_line_splits_the_data():
 
 def test_conformal_shift():
     r = np.arange(1.0, 20.0)
-    assert est.conformal_shift(r, 0.9) == 19.0 and est.conformal_shift(r, 0.1) == 2.0
+    assert est.calibration_shift(r, 0.9) == 19.0 and est.calibration_shift(r, 0.1) == 2.0 and est.calibration_shift(r[:0], 0.5) == 0.0
 
 
-def test_bootstrap_and_ranks():
-    lo, hi = est.cluster_bootstrap_skill(np.array([1.0, 2, 3, 4]), np.array([2.0, 4, 6, 8]), 500, 0)
+def test_bootstrap_and_ranks(spark):
+    lo, hi = est.skill_bounds(np.array([1.0, 2, 3, 4]), np.array([2.0, 4, 6, 8]), 500, 0)
     assert lo == hi == pytest.approx(0.5)
-    low, high = est.rank_intervals(np.array([0.1, 0.5, 0.9]), np.zeros(3))
-    assert low.tolist() == high.tolist() == [1, 2, 3]
-
-
-def test_twoway_within(spark):
-    df = spark.createDataFrame([(u, t, float(3 * u + 5 * t + (u * t) % 2)) for u in range(4) for t in range(5)], "u int, t int, x double")
-    out = est.twoway_within(df, ["x"], "u", "t", 4).toPandas()
-    assert out.groupby("u").x.mean().abs().max() < 1e-9 and out.groupby("t").x.mean().abs().max() < 1e-9
+    units = spark.createDataFrame([(7, 0.1, 0.0), (8, 0.5, 0.0), (9, 0.9, 0.0)], "u int, x double, e double")
+    assert sorted(map(tuple, est.rank_bounds(units, "u", "x", "e", 50).collect())) == [(7, 1.0, 1.0), (8, 2.0, 2.0), (9, 3.0, 3.0)]
+    wide = {r.u: (r.rank_lo, r.rank_hi) for r in est.rank_bounds(units.withColumn("e", F.lit(100.0)), "u", "x", "e", 500).collect()}
+    assert set(wide.values()) == {(1.0, 3.0)}
+
+
+def test_remaining_months_of_a_steady_hazard(spark):
+    n = np.round(1e6 * 0.9 ** np.arange(31) * 0.1).astype(int)
+    rows = [(k, int(x), int(x)) for k, x in enumerate(n)] + [(31, int(1e6 * 0.9**31), 0)]
+    out = est.remaining_months(spark.createDataFrame(rows, "dur int, n long, events long"), 30).toPandas()
+    assert len(out) == 31 and out["tail"].iloc[0] == pytest.approx(-np.log(0.9), rel=1e-3)
+    assert out.life[out.age == 0].iloc[0] == pytest.approx(sum(0.9 ** (k + 1) for k in range(31)) + 0.9**31 / -np.log(0.9), rel=1e-3)
+
+
+def test_folds_do_not_reach_into_each_other(spark):
+    months = list(range(100, 160)) + [155, 130]
+    got = sorted(map(tuple, est.fold_parts(spark.createDataFrame([(m,) for m in months], "m int"), 12, 150, 6).collect()))
+    assert {p: [m for q, m in got if q == p] for p, _ in got} == {"train": list(range(100, 120)), "stop": [132, 133, 134], "conformal": [135, 136, 137], "validate": list(range(150, 160))}
+    masks = est.fold_masks(np.array(months), 12, 150, 6)
+    assert {p: sorted(set(np.array(months)[k].tolist())) for p, k in masks.items()} == {p: sorted({m for q, m in got if q == p}) for p in masks}
+    assert not est.fold_masks(np.array(months), 12, 90, 6)["train"].any()
+
+
+def test_judges_needed(spark):
+    rows = [(k, 4.0, 10.0, float(x)) for k, x in enumerate((0, 1, 50, 400, 1000, 1e9))]
+    out = est.judges_needed(spark.createDataFrame(rows, "k int, b double, d double, x double"), "b", "d", "x", 0.6).collect()
+    gain = lambda more: sum(10 * ((1 + more / 4 * (1 - np.exp((6 - t) / 6))) ** 0.6 - 1) for t in range(7, 37))
+    assert [r.judges for r in sorted(out)] == [next((float(m) for m in range(81) if gain(m) >= x), float("inf")) for _, _, _, x in rows]
 
 
 def test_files(spark, tmp_path):

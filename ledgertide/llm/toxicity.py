@@ -89,14 +89,18 @@ def features(evidence: np.ndarray, passages: np.ndarray) -> np.ndarray:
     return np.stack((np.ones(len(evidence)), evidence, np.log1p(passages), passages > 1), 1)
 
 
-def code_scores(toxic: np.ndarray, clean: np.ndarray) -> np.ndarray:
-    """Scores from document counts by code in the two classes; the prior is PRIOR times the pooled counts."""
+def code_scores(toxic: np.ndarray, clean: np.ndarray, rest: float = 0.0) -> np.ndarray:
+    """Scores from document counts by code in the two classes; the prior is PRIOR times the pooled counts.
+
+    rest: clean documents counted under all the other codes, which no toxic document has and which score -DRIFT.
+    """
     both = toxic + clean
-    if not toxic.sum() or not clean.sum():
+    if not toxic.sum() or not clean.sum() + rest:
         return np.full(len(both), -DRIFT, np.float32)
     prior = PRIOR * both + 0.05
+    others = PRIOR * rest + 0.05 * (CODES - len(both))
     a, b = toxic + prior, clean + prior
-    odds = np.log(a / (a.sum() - a)) - np.log(b / (b.sum() - b))
+    odds = np.log(a / (a.sum() + others - a)) - np.log(b / (b.sum() + rest + others - b))
     sure = odds / np.sqrt(1 / a + 1 / b)
     ok = (sure > SURE) & (toxic >= LEAST)
     return np.where(ok, odds * (1 - (SURE / np.maximum(sure, SURE)) ** 2), -DRIFT).astype(np.float32)
@@ -159,11 +163,15 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(x) for x in (part, code, docs[part, 1, code].astype(np.int64), docs[part, 0, code].astype(np.int64), words[part, code])], names=["part", "code", "toxic", "clean", "words"])
 
 
-def _rated(counts: np.ndarray) -> tuple[np.ndarray, float]:
-    """(scores of the codes, lambda) from counts of toxic and clean documents and of tokens of clean ones, by code."""
+def _rated(codes: np.ndarray, counts: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, float]:
+    """(scores of all codes, lambda): counts of toxic and clean documents and of tokens of clean ones, by code; of the last two, the rest."""
     toxic, clean, words = counts
-    score, words = code_scores(toxic, clean), words + 1e-3
-    return score, tail_rate(score.astype(float), words / words.sum()) if (score > 0).any() else 1.0
+    score = np.full(CODES, -DRIFT, np.float32)
+    score[codes] = own = code_scores(toxic, clean, rest[0])
+    if not (own > 0).any():
+        return score, 1.0
+    share = np.append(words, rest[1]) + 1e-3
+    return score, tail_rate(np.append(own, -DRIFT).astype(float), share / share.sum())
 
 
 def _passages(score, batches: Iterator[pa.RecordBatch], column: int, part_column: int | None = None) -> Iterator[tuple[int, list[tuple[int, int, float]], int, np.ndarray, np.ndarray, pa.RecordBatch]]:
@@ -186,15 +194,21 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     Each of four parts is scored by the counts of the other three; these figures give K and the logistic weights.
     Without any labelled text everything scores alike, at a share of SHARE: nothing is toxic.
 
-    To the driver come 4 * 2^18 counts and one row of three figures for each text of the sample, both bounded. Equal
+    To the driver come the counts of codes that toxic texts have (2^18 at most) and one row of three figures for each
+    text of the sample, both bounded. Equal
     however the tables are partitioned.
     """
     sample = written(labelled_sample(docs, labels, id_col, text_col, label_col, per_class), "sample")
-    counted = sample.mapInArrow(_counts, "part long, code long, toxic long, clean long, words long").groupBy("part", "code").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.sum("words").alias("words")).toPandas()
-    counts = np.zeros((PARTS, 3, CODES))
-    for k, name in enumerate(("toxic", "clean", "words")):
-        counts[counted["part"].to_numpy(np.int64), k, counted["code"].to_numpy(np.int64)] = counted[name].to_numpy(float)
-    score, rate = zip(*[_rated(counts.sum(0) - own) for own in (*counts, 0)], strict=True)
+    kinds, parts = ("toxic", "clean", "words"), range(PARTS)
+    counted = sample.mapInArrow(_counts, "part long, code long, toxic long, clean long, words long")
+    counted = counted.groupBy("code").agg(*[F.sum(F.when(F.col("part") == p, F.col(k)).otherwise(0)).alias(f"{k}{p}") for p in parts for k in kinds])
+    counted = written(counted.withColumn("hot", F.expr(" + ".join(f"toxic{p}" for p in parts)) > 0), "codes")
+    by_code = counted.where("hot").toPandas()
+    others = counted.where("not hot").agg(*[F.coalesce(F.sum(f"{k}{p}"), F.lit(0)).alias(f"{k}{p}") for p in parts for k in kinds[1:]]).first()
+    codes = by_code["code"].to_numpy(np.int64)
+    counts = np.array([[by_code[f"{k}{p}"].to_numpy(float) for k in kinds] for p in parts]).reshape(PARTS, 3, len(codes))
+    rest = np.array([[float(others[f"{k}{p}"]) for k in kinds[1:]] for p in parts])
+    score, rate = zip(*[_rated(codes, counts.sum(0) - own, rest.sum(0) - o) for own, o in ((*zip(counts, rest, strict=True), (0, 0)))], strict=True)
     context = docs.sparkSession.sparkContext
     sent = context.broadcast(np.stack(score[:PARTS]))
     level = np.log(20.0) / np.array(rate)
@@ -221,7 +235,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     else:  # one class or none: the share seen, smoothed by ten texts with a share of SHARE
         toxic = sum(t for t, _, _ in held)
         model.weights = (float(np.log((toxic + 10 * SHARE) / (len(held) - toxic + 10 * (1 - SHARE)))), 0.0, 0.0, 0.0)
-    forget(sample)
+    forget(sample, counted)
     return model
 
 

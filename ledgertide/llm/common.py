@@ -77,7 +77,8 @@ def least_hashes(rows: DataFrame, group: str, rank: str, most: int) -> DataFrame
     """Of each group (not null) the `most` rows with the least rank, a 64-bit hash; rows of equal rank stay or go together.
 
     Counts by the first 20 bits of the hash say which rows surely stay; only those of the one value at the edge are
-    ordered, a millionth of a group. So no group is ranked in one task, and the choice is the same however rows are laid.
+    ordered, about a millionth of a group. One task reads a group's counts, 2^20 rows at most however large the group is.
+    The choice is the same however rows are laid.
     """
     rows = rows.withColumn("__first", F.shiftrightunsigned(rank, 44))
     counts = rows.groupBy(group, "__first").agg(F.count("*").alias("__n"))

@@ -52,8 +52,8 @@ def _names(sets: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def bitmap(own: np.ndarray) -> bytes:
-    """A parity bitmap of 64 to 4096 bits, about one for each element."""
-    bits = 1 << min(max(int(len(own) - 1).bit_length(), 6), 12)
+    """A parity bitmap of 64 to 8192 bits, about four for each element: few differing elements share a bit, so the bound is tight."""
+    bits = 1 << min(max(int(4 * len(own) - 1).bit_length(), 6), 13)
     odd = np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1
     return np.packbits(odd, bitorder="little").tobytes()
 

@@ -119,14 +119,18 @@ def tail_rate(score: np.ndarray, share: np.ndarray) -> float:
     return low
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
-    """Weights of a logistic regression by Newton's method."""
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 100) -> np.ndarray:
+    """Weights of a logistic regression by Newton's method; steps are halved until the loss, which is convex, falls."""
     w = np.zeros(x.shape[1])
+    loss = lambda w: np.sum(np.logaddexp(0, x @ w) - y * (x @ w)) + ridge / 2 * w @ w
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         hess = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
-        step = np.linalg.solve(hess, x.T @ (y - p) - ridge * w)
-        w += np.clip(step, -2, 2)
+        slope = x.T @ (y - p) - ridge * w
+        step, now = np.linalg.solve(hess, slope), loss(w)
+        while loss(w + step) > now - 1e-4 * slope @ step and np.abs(step).max() > 1e-10:
+            step /= 2
+        w += step
         if np.abs(step).max() < 1e-8:
             break
     return w

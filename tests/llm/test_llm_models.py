@@ -220,3 +220,16 @@ def test_every_layout_is_used(spark):
         assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
         counts = np.bincount(np.frombuffer(tiff.payload_of(texts[r.doc_id]), np.uint8), minlength=256)
         assert f"distinct={(counts > 0).sum()}" in r.feature
+
+
+def test_logistic_converges_when_newton_steps_overshoot():
+    from ledgertide.llm.toxicity import features, logistic
+
+    rng = np.random.default_rng(1)
+    y = (rng.random(20_000) < 0.4).astype(float)
+    evidence = np.where(y > 0, rng.exponential(60, len(y)), np.where(rng.random(len(y)) < 0.01, 5.0, 0.0))
+    x = features(evidence, (evidence > 4).astype(float))
+    w = logistic(x, y)
+    p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+    assert np.abs(x.T @ (y - p) - 1e-2 * w).max() < 1e-3
+    assert ((p >= 0.3) == (y > 0)).mean() > 0.9

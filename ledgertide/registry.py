@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgertide.plans import audit, core, district, grading, inference, portable, published
+from ledgertide.plans import audit, core, district, grading, inference, intake, portable, published
 
-PLANS = (portable, core, inference, district, grading, audit, published)
+PLANS = (portable, core, inference, district, grading, audit, published, intake)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -260,11 +260,11 @@ def spearman(spark, sf_dir):
     return x.select(rank("a").alias("ra"), rank("b").alias("rb")).agg(F.round(F.corr("ra", "rb"), 6).alias("rho"), F.count("*").alias("n"))
 
 
-def _handover(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _handover(spark: SparkSession, sf_dir: str, earlier: int = 0) -> DataFrame:
     posts = src.postings(spark, sf_dir)
     flow = src.table(spark, sf_dir, "lineitem").where("l_linestatus = 'F'").select(F.col("l_suppkey").alias("court"), (F.year("l_shipdate") * 12 + F.month("l_shipdate") - 1).alias("m")).groupBy("court", "m").agg(F.count("*").alias("x"))
     flow = flow.join(posts.select("district", "court").distinct(), "court")
-    return events.event_study(flow, events.handovers(posts), posts.select("district", "court", "s"), C.first, C.last, post=8)
+    return events.event_study(flow, events.moved(events.handovers(posts), earlier), posts.select("district", "court", "s"), C.first, C.last, post=8)
 
 
 HANDOVER = f"""WITH {POSTS}, flow AS (SELECT court, m, count(*) AS x FROM (SELECT l_suppkey AS court, year(l_shipdate) * 12 + month(l_shipdate) - 1 AS m FROM lineitem WHERE l_linestatus = 'F') AS l GROUP BY ALL),
@@ -281,6 +281,36 @@ def study(spark, sf_dir):
     return _handover(spark, sf_dir).groupBy("k").agg(F.count("*").alias("events"), F.round(F.avg("effect"), 6).alias("effect"))
 
 
+PLACEBO = (0, 18, 30)  # months
+TOTALS = "tot AS (SELECT district, court, t0, avg(e) FILTER (k >= 0 AND k < 8) AS after, avg(e) FILTER (k < 0) AS before, -sum(e * b) FILTER (k >= 0 AND k < 8) AS lost, max(b) AS b FROM (SELECT *, own - ctrl AS e FROM pk WHERE own IS NOT NULL AND ctrl IS NOT NULL) AS s GROUP BY ALL)"
+BASED = HANDOVER.replace("AS ctrl FROM bs", "AS ctrl, max(base) FILTER (other = court) AS b FROM bs")
+
+
+def _moved_sql(earlier: int) -> str:
+    sql = HANDOVER.replace("s AS t0 FROM", f"s - {earlier} AS t0 FROM").replace("AND s - 12 >=", f"AND s - {earlier} - 12 >=").replace("AND s + 8 <=", f"AND s - {earlier} + 8 <=")
+    return f"SELECT {earlier} AS earlier, * FROM ({sql} SELECT count(DISTINCT (district, court, t0)) AS events, round(avg(own - ctrl) FILTER (k >= 0 AND k < 8), 6) AS effect FROM pk WHERE own IS NOT NULL AND ctrl IS NOT NULL)"
+
+
+@add("M12_placebo", " UNION ALL ".join(_moved_sql(k) for k in PLACEBO))
+def placebo(spark, sf_dir):
+    """The mean effect after handovers and after the same dates some months earlier."""
+    out = None
+    for earlier in PLACEBO:
+        rows = _handover(spark, sf_dir, earlier)
+        after = F.avg(F.when((F.col("k") >= 0) & (F.col("k") < 8), F.col("effect")))
+        one = rows.agg(F.countDistinct("district", "court", "t0").alias("events"), F.round(after, 6).alias("effect")).select(F.lit(earlier).alias("earlier"), "events", "effect")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@add("M12_by_vacancy", f"{BASED}, {TOTALS}, va AS (SELECT district, court, s AS t0, least(greatest(s - pe, 0), 2) < 2 AS short FROM (SELECT *, lag(e) OVER (PARTITION BY district, court ORDER BY s) AS pe FROM posts) AS q WHERE pe IS NOT NULL) SELECT CASE WHEN short THEN '0-1' ELSE '2+' END AS vacancy, count(*) AS events, round(avg(after), 6) AS effect, round(avg(before), 6) AS pre_trend, round(avg(lost), 6) AS lost, round(avg(lost) / (12 * avg(b)), 6) AS lost_share FROM tot JOIN va USING (district, court, t0) GROUP BY ALL")
+def by_vacancy(spark, sf_dir):
+    totals = events.event_totals(_handover(spark, sf_dir), 8).join(events.handovers(src.postings(spark, sf_dir)), ["district", "court", "t0"])
+    r = lambda c: F.round(c, 6)
+    out = totals.groupBy(F.when(F.col("vacancy") <= 1, "0-1").otherwise("2+").alias("vacancy"))
+    return out.agg(F.count("*").alias("events"), r(F.avg("after")).alias("effect"), r(F.avg("before")).alias("pre_trend"), r(F.avg("lost")).alias("lost"), r(F.avg("lost") / (12 * F.avg("base_mean"))).alias("lost_share"))
+
+
 @add("J11_control_courts", f"WITH {POSTS}, ev AS (SELECT district, court, s AS t0 FROM (SELECT *, lag(e) OVER (PARTITION BY district, court ORDER BY s) AS pe FROM posts) AS q WHERE pe IS NOT NULL), uc AS (SELECT DISTINCT district, court FROM posts) SELECT ev.district, ev.court, t0, uc.court AS other FROM ev JOIN uc ON uc.district = ev.district AND uc.court <> ev.court WHERE NOT EXISTS (SELECT 1 FROM posts p WHERE p.district = uc.district AND p.court = uc.court AND abs(p.s - t0) <= 12)")
 def controls(spark, sf_dir):
     posts = src.postings(spark, sf_dir)

@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgertide.operators import estimation as est
-from ledgertide.operators import elasticity, matching, panel, survival
+from ledgertide.operators import elasticity, events, matching, panel, survival
+from ledgertide.plans.core import _handover
 from ledgertide.sources import lifecycle as src
 
 
@@ -66,8 +67,15 @@ def names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.fuzzy_match(spelled, nation, "n_regionkey", "name", 0.8)
 
 
+def handover_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Effects of handovers and their trend before, with intervals from resampled districts."""
+    found = events.clustered_means(events.event_totals(_handover(spark, sf_dir), 8), ["after", "before", "lost"])
+    return spark.createDataFrame([(c, *[round(v, 6) for v in rest]) for c, *rest in found], "figure string, mean double, low double, high double")
+
+
 def queries() -> dict:
     return {
+        "M12_intervals": handover_intervals,
         "M2_skill_interval": skill_interval, "M3_M4_quantile_lines": quantile_lines, "M7_two_way_fixed_effects": fixed_effects, "M11_rank_intervals": ranked, "M13_years_bootstrap": covid_bootstrap,
         "J12_fuzzy_names": names,
     }

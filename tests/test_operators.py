@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ledgertide.functions.taxonomy import classify_labels
 from ledgertide.functions.text import indian_digits, normal_name, slug
 from ledgertide.operators import estimation as est
-from ledgertide.operators import panel
+from ledgertide.operators import events, panel
 from ledgertide.sources import files
 from ledgertide.streaming.cube_stream import streaming_cube
 
@@ -122,3 +122,18 @@ def test_curve_drops_keep_gaps_and_lose_the_tail(spark):
 
     rows = spark.createDataFrame([([0.9, None, 0.85, 0.85, None],), ([],), ([None, None],), (None,), ([None, 0.5],)], "c array<double>")
     assert [r.d for r in rows.select(drops(F.col("c")).alias("d")).collect()] == [[100, None, 50, 0], [], [], None, [None, 500]]
+
+
+def test_event_totals_and_clustered_means(spark):
+    rows = [("a", 1, 10, k, 0.5 if k >= 0 else 0.1, 4.0, 2) for k in range(-2, 4)] + [("b", 2, 10, k, -0.5, 2.0, 1) for k in range(-2, 4)]
+    study = spark.createDataFrame(rows, "district string, court int, t0 int, k int, effect double, base_mean double, n_controls long")
+    got = {r.district: (r.after, r.before, r.lost) for r in events.event_totals(study, 2).collect()}
+    assert got["a"] == pytest.approx((0.5, 0.1, -4.0)) and got["b"] == pytest.approx((-0.5, -0.5, 2.0))
+    (name, mean, low, high), _ = events.clustered_means(events.event_totals(study, 2), ["after", "lost"])
+    assert (name, mean, low, high) == ("after", 0.0, -0.5, 0.5)
+    assert events.clustered_means(events.event_totals(study.limit(0)), ["after"]) == []
+
+
+def test_placebo_events_are_moved(spark):
+    df = spark.createDataFrame([(1, 2, 100, 3)], "district int, court int, t0 int, vacancy int")
+    assert events.moved(df, 18).first().t0 == 82

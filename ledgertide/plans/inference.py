@@ -62,9 +62,11 @@ def fixed_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Misspelled nations of a region against the right names, and one override."""
     nation = src.table(spark, sf_dir, "nation").select("n_regionkey", F.lower("n_name").alias("name"))
-    spelled = nation.select("n_regionkey", F.when(F.length("name") > 6, F.concat(F.lit("x"), F.substring("name", 2, 99))).otherwise(F.col("name")).alias("name"))
-    return matching.fuzzy_match(spelled, nation, "n_regionkey", "name", 0.8)
+    spelled = nation.select("n_regionkey", F.when(F.length("name") >= 6, F.concat(F.lit("x"), F.substring("name", 2, 99))).otherwise(F.col("name")).alias("name"))
+    given = nation.where("name = 'france'").select("n_regionkey", F.lit("xrance").alias("name"), F.col("name").alias("match"))
+    return matching.with_overrides(matching.fuzzy_match(spelled, nation, "n_regionkey", "name"), given, ["n_regionkey", "name"])
 
 
 def handover_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """Smaller operators against values worked out by hand or in numpy."""
 
+import difflib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +9,7 @@ from pyspark.sql import functions as F
 from ledgertide.functions.taxonomy import classify_labels
 from ledgertide.functions.text import indian_digits, normal_name, slug
 from ledgertide.operators import estimation as est
-from ledgertide.operators import events, panel
+from ledgertide.operators import events, matching, panel
 from ledgertide.sources import files
 from ledgertide.streaming.cube_stream import streaming_cube
 
@@ -137,3 +139,15 @@ def test_event_totals_and_clustered_means(spark):
 def test_placebo_events_are_moved(spark):
     df = spark.createDataFrame([(1, 2, 100, 3)], "district int, court int, t0 int, vacancy int")
     assert events.moved(df, 18).first().t0 == 82
+
+
+def test_fuzzy_names(spark):
+    left = spark.createDataFrame([(1, "bhojpur"), (1, "bhojpurr"), (1, "zzz"), (2, "bhojpur"), (1, None)], "state int, name string")
+    right = spark.createDataFrame([(1, "bhojpur"), (1, "bhagalpur"), (1, "jehanabad"), (3, "x")], "state int, name string")
+    got = {(r.state, r.name): (r.match, r.how, r.candidates) for r in matching.fuzzy_match(left, right, "state", "name").collect()}
+    assert got == {
+        (1, "bhojpur"): ("bhojpur", "exact", "bhojpur; bhagalpur"), (1, "bhojpurr"): ("bhojpur", "fuzzy", "bhojpur"),
+        (1, "zzz"): (None, "none", ""), (2, "bhojpur"): (None, "none", ""),
+    }
+    words = ["bhojpur", "bhojpura", "bhagalpur", "arrah", "jehanabad", "bajpur"]
+    assert [k for _, k in matching.closest("bhojpur", words)] == difflib.get_close_matches("bhojpur", words, 3, 0.6)

@@ -94,6 +94,19 @@ def folds(spark, sf_dir):
     return est.fold_parts(panel.stock_flow(src.cube(spark, sf_dir)).select("m"), 12, C.base_year * 12, 12).select("part", F.col("m").cast("int").alias("m"))
 
 
+BREAK = (C.first + 25, C.first + 27)
+
+
+@add("M6_purged_breaks", f"""{MONTHS}, ok AS (SELECT m FROM months WHERE NOT EXISTS (SELECT 1 FROM range({BREAK[0]}, {BREAK[1] + 1}) b(x) WHERE x BETWEEN m AND m + 6)),
+free AS (SELECT list(m ORDER BY m) AS ms FROM ok WHERE m + 6 < {C.base_year * 12}),
+held AS (SELECT ms[greatest(len(ms) - 23, 1):] AS hs, ms FROM free), cut AS (SELECT hs[1] AS first, hs[len(hs) // 2 + 1] AS middle, hs, ms FROM held)
+SELECT CASE WHEN m >= {C.base_year * 12} THEN 'validate' WHEN list_contains(hs, m) AND m >= middle THEN 'conformal' WHEN list_contains(hs, m) THEN 'stop' ELSE 'train' END AS part, CAST(m AS INT) AS m
+FROM months, cut WHERE m >= {C.base_year * 12} OR list_contains(hs, m) OR list_contains(ms, m) AND m + 6 < first""")
+def broken_folds(spark, sf_dir):
+    """Folds of half a year ahead, 24 months of calibration, three months taken as a break."""
+    return est.fold_parts(panel.stock_flow(src.cube(spark, sf_dir)).select("m"), 6, C.base_year * 12, 24, (BREAK,)).select("part", F.col("m").cast("int").alias("m"))
+
+
 @add("M8_least_squares", f"""WITH r AS (SELECT ln(pending) AS y, ln(instituted) AS a, ln(disposed + 1) AS b FROM ({core.STOCK}) AS sf WHERE pending > 0 AND instituted > 0),
 c AS (SELECT avg(y) AS y, avg(a) AS a, avg(b) AS b, var_pop(a) AS aa, var_pop(b) AS bb, covar_pop(a, b) AS ab, covar_pop(a, y) AS ay, covar_pop(b, y) AS by_, var_pop(y) AS yy FROM r),
 k AS (SELECT *, (ay * bb - by_ * ab) / (aa * bb - ab * ab) AS sa, (by_ * aa - ay * ab) / (aa * bb - ab * ab) AS sb FROM c)

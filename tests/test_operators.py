@@ -151,3 +151,13 @@ def test_fuzzy_names(spark):
     }
     words = ["bhojpur", "bhojpura", "bhagalpur", "arrah", "jehanabad", "bajpur"]
     assert [k for _, k in matching.closest("bhojpur", words)] == difflib.get_close_matches("bhojpur", words, 3, 0.6)
+
+
+def test_breaks_leave_the_fitting_parts(spark):
+    months = spark.createDataFrame([(m,) for m in range(100, 140)], "m int")
+    got = {r.m: r.part for r in est.fold_parts(months, 2, 130, 6, ((110, 111), (124, 124), (135, 136))).collect()}
+    assert all(m not in got for m in (*range(108, 112), *range(122, 125)))
+    assert [m for m in sorted(got) if got[m] == "validate"] == list(range(130, 140))
+    assert [m for m in sorted(got) if got[m] == "conformal"] == [125, 126, 127]
+    assert [m for m in sorted(got) if got[m] == "stop"] == [119, 120, 121]
+    assert [m for m in sorted(got) if got[m] == "train"] == [*range(100, 108), *range(112, 117)]
